@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passrate.llm import pii, quality, tokens
+from passrate.llm import pii, quality, substrings, tokens
 from passrate.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_spans(table(spark, sf_dir, "documents"))
 
 
+def op4_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_windows(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
