@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passrate.llm import pii, quality, simhash, substrings, suffixes, syncmers, tokens
+from passrate.llm import media, pii, quality, simhash, substrings, suffixes, syncmers, tokens
 from passrate.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edit_likeness(table(spark, sf_dir, "documents"))
 
 
+def op6_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.stored_texts(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
