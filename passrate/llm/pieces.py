@@ -33,7 +33,7 @@ from passrate.llm.tokens import tokenizer_path
 
 BLANK = "▁"
 _UNKNOWN_PENALTY = 10.0
-_CACHED_UNITS, _CACHED_CHARS = 200_000, 48
+_CACHED_UNITS, _CACHED_CHARS, _CACHED_PAIRS = 200_000, 48, 1_000_000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -78,9 +78,10 @@ class PieceModel:
         self.automaton = ahocorasick.Automaton()
         self.unknown = library.unk_id()
         self.surface: list[bytes] = []
+        self.sizes = [len(p) for p in self.pieces]
         self.bpe = is_bpe(path) if bpe is None else bpe
         self.score_of: dict[str, float] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by (piece before + 1) * pieces + piece
         lowest, crosses = 0.0, False
         for i, piece in enumerate(self.pieces):
             if library.is_byte(i):
@@ -112,25 +113,40 @@ class PieceModel:
         return parts
 
     def fits(self, before: int, piece: int) -> bool:
-        """Do these two pieces, side by side, encode to themselves?  (before < 0: nothing, or an unknown character.)"""
-        known = self.pairs.get((before, piece))
-        if known is None:
-            both = [self.pieces[i] for i in (before, piece) if i >= 0]
-            known = self.merged("".join(both)) == both
-            if len(self.pairs) >= _CACHED_UNITS:
-                self.pairs.clear()
-            self.pairs[before, piece] = known
+        """Do these two pieces, side by side, encode to themselves?  (before -1: nothing, or an unknown character.)"""
+        both = [self.pieces[i] for i in (before, piece) if i >= 0]
+        known = self.merged("".join(both)) == both
+        if len(self.pairs) >= _CACHED_PAIRS:
+            self.pairs.clear()
+        self.pairs[(before + 1) * len(self.pieces) + piece] = known
         return known
 
     def by_merges(self, text: str) -> tuple[int, ...]:
         """The BPE ids of one unit, in one pass."""
-        n = len(text)
-        back: list[tuple[int, int]] = [(-1, 0)] + [(-2, 1)] * n  # piece and size; -2: none yet
-        for last, (size, _, piece) in self.automaton.iter(text):
-            end = last + 1
-            if back[end][0] < 0 and self.fits(max(back[end - size][0], -1), piece):
-                back[end] = (piece, size)
-        return self._ids(text, back)
+        last = [-1] * (len(text) + 1)  # the last piece of each prefix; -1: an unknown character
+        known, count = self.pairs.get, len(self.pieces)
+        for at, (size, _, piece) in self.automaton.iter(text):
+            if last[at + 1] < 0:
+                before = last[at + 1 - size]
+                fit = known((before + 1) * count + piece)
+                if fit or fit is None and self.fits(before, piece):
+                    last[at + 1] = piece
+        ids: list[int] = []
+        end = len(text)
+        while end:
+            piece = last[end]
+            if piece < 0:
+                end -= 1
+                ids += self._bytes(text[end])
+            else:
+                ids.append(piece)
+                end -= self.sizes[piece]
+        ids.reverse()
+        return tuple(ids)
+
+    def _bytes(self, character: str) -> list[int]:
+        """The byte pieces of an unknown character, last first."""
+        return [int(self.bytes_of[b]) if self.bytes_of[b] >= 0 else self.unknown for b in reversed(character.encode())]
 
     def best(self, text: str) -> tuple[int, ...]:
         """The ids of the segmentation of one unit with the best total score, in one pass."""
@@ -154,15 +170,12 @@ class PieceModel:
             done += 1
             if single != done:
                 self._unknown(score, back, done)
-        return self._ids(text, back)
-
-    def _ids(self, text: str, back: list[tuple[int, int]]) -> tuple[int, ...]:
         ids: list[int] = []
-        end = len(text)
+        end = n
         while end:
             piece, size = back[end]
             if piece < 0:
-                ids.extend(int(self.bytes_of[b]) if self.bytes_of[b] >= 0 else self.unknown for b in reversed(text[end - size : end].encode()))
+                ids += self._bytes(text[end - 1])
             else:
                 ids.append(piece)
             end -= size
