@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -123,8 +124,6 @@ def matches(column: Column, pattern: str, mode: str = "match", ignore_case: bool
 
 
 def _in_python(pattern: str, mode: str, ignore_case: bool):
-    import pandas as pd
-
     re.compile(pattern)
 
     @F.pandas_udf("boolean")

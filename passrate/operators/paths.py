@@ -124,4 +124,7 @@ def flatten(df: DataFrame, flatten_cols: list[str]) -> DataFrame:
     """
     if not any(is_nested(p) and p not in df.columns for p in flatten_cols):
         return df
+    for path in flatten_cols:
+        if path in df.columns and isinstance(df.schema[path].dataType, T.ArrayType):
+            raise ValueError(f"Column '{path}' is an array and must end with '[*]' or '[]'")
     return flatten_as(df, {p: safe_name(p) for p in dict.fromkeys(flatten_cols)})
