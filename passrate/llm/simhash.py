@@ -203,37 +203,50 @@ def link_edges(nodes: DataFrame, radius: int, crowd: int) -> DataFrame:
         levels = finer
     edges = None
     for part in done:
-        found = part.repartition("way", "key").mapInArrow(_linker(radius), "a long, b long")
+        found = part.repartition("way", "key").sortWithinPartitions("way", "key", "fp").mapInArrow(_linker(radius), "a long, b long")
         edges = found if edges is None else edges.unionByName(found)
     return edges.distinct()
 
 
-def _linker(radius: int):
-    def run(batches):
-        tables = [pa.Table.from_batches([x]) for x in batches if x.num_rows]
-        if not tables:
-            return
-        rows = pa.concat_tables(tables)
+def _linker(radius: int, at_once: int = 1 << 18):
+    """Rows come sorted by way and key; whole groups are compared, about `at_once` rows at a time."""
+
+    def linked(rows: pa.Table):
         way, key, fp = (rows.column(c).to_numpy() for c in ("way", "key", "fp"))
-        order = np.lexsort((fp, key, way))
-        way, key, fp = way[order], key[order], fp[order]
         last = np.ones(len(fp), bool)
         last[:-1] = (way[1:] != way[:-1]) | (key[1:] != key[:-1])
         ends = np.flatnonzero(last) + 1
-        ends = ends[np.searchsorted(ends, np.arange(len(fp)), side="right")]
-        starts = np.concatenate(([0], np.flatnonzero(last)[:-1] + 1))
-        alone = np.zeros(len(fp), bool)
-        alone[starts] = ends[starts] == starts + 1
-        keep = np.flatnonzero(~alone)
+        starts = np.concatenate(([0], ends[:-1]))
+        keep = np.flatnonzero(np.repeat(ends - starts > 1, ends - starts))
         if not len(keep):
             return
-        fp, ends = fp[keep], np.searchsorted(keep, ends[keep])
+        ends = np.searchsorted(keep, np.repeat(ends, ends - starts)[keep])
+        fp = fp[keep]
         nodes, index = np.unique(fp, return_inverse=True)
         root = forest(len(nodes), ((index[a], index[b]) for a, b in close_pairs(fp.view(U64), ends, radius)))
         out = np.flatnonzero(root != np.arange(len(root)))
         if len(out):
             yield pa.RecordBatch.from_arrays([pa.array(nodes[out]), pa.array(nodes[root[out]])], ["a", "b"])
 
+    def run(batches):
+        held: list[pa.Table] = []
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(pa.Table.from_batches([batch]))
+            size += batch.num_rows
+            if size >= at_once:
+                rows = pa.concat_tables(held)
+                way, key = rows.column("way").to_numpy(), rows.column("key").to_numpy()
+                whole = np.flatnonzero((way != way[-1]) | (key != key[-1]))
+                cut = int(whole[-1]) + 1 if len(whole) else 0
+                if cut:
+                    yield from linked(rows.slice(0, cut))
+                held, size = [rows.slice(cut)], rows.num_rows - cut
+        if size:
+            yield from linked(pa.concat_tables(held))
+
     return run
 
 
