@@ -16,6 +16,7 @@ from its rows alone, so a block made again after an executor's loss is equal.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 
 from passrate.llm.common import n_blocks, utf8
 
+#: Blocks that one task may be dealt on average; beyond it there are more tasks than spark.sql.shuffle.partitions.
+BLOCKS_PER_TASK = 8
 MESSAGE = "bucket long, block long, kind int, data binary"
 _SCHEMA = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
 
@@ -79,10 +82,11 @@ def exchange(
 ) -> DataFrame:
     """Run both rounds over (doc_id, text); `carry` names further columns that `finish` gets under their own names."""
     n = n_blocks(docs)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / BLOCKS_PER_TASK))
     row_key = F.xxhash64(F.coalesce("doc_id", F.lit(0)), "text")
     packed = [F.struct(*carry).alias("carried")] if carry else []
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *packed).withColumn("row_key", row_key).withColumn("block", F.pmod(F.col("row_key"), F.lit(n)))
-    texts = texts.repartition("block")  # all three passes read this one exchange
+    texts = texts.repartition(parts, "block")  # all three passes read this one exchange
 
     def first(rows: pa.Table) -> pa.Table:
         return messages(sketch(Block(rows), n))
@@ -93,7 +97,8 @@ def exchange(
     def last(rows: pa.Table, answers: pa.Table) -> pa.Table:
         return finish(Block(rows), answers, n)
 
-    by_block = lambda df: df.groupBy("block")
-    answers = by_block(texts).applyInArrow(first, MESSAGE).groupBy("bucket").applyInArrow(lambda t: messages(sketch_merge(t)), MESSAGE)
-    details = by_block(texts).cogroup(by_block(answers)).applyInArrow(second, MESSAGE).groupBy("bucket").applyInArrow(lambda t: messages(detail_merge(t)), MESSAGE)
-    return by_block(texts).cogroup(by_block(answers.unionByName(details))).applyInArrow(last, schema)
+    by = lambda df, key: df.repartition(parts, key).groupBy(key)
+    answers = by(texts.groupBy("block").applyInArrow(first, MESSAGE), "bucket").applyInArrow(lambda t: messages(sketch_merge(t)), MESSAGE)
+    details = texts.groupBy("block").cogroup(by(answers, "block")).applyInArrow(second, MESSAGE)
+    details = by(details, "bucket").applyInArrow(lambda t: messages(detail_merge(t)), MESSAGE)
+    return texts.groupBy("block").cogroup(by(answers.unionByName(details), "block")).applyInArrow(last, schema)

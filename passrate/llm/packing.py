@@ -88,7 +88,7 @@ def _placed(bounds: np.ndarray | None):
         place = hilbert(project(vectors(*utf8(batch.column("text")))))
         curve = place << TIE_BITS | batch.column("tie").to_numpy() & ((1 << TIE_BITS) - 1)
         if bounds is None:
-            yield pa.RecordBatch.from_arrays([pa.array(curve)], ["curve"])
+            yield pa.RecordBatch.from_arrays([pa.array(curve), pa.array(np.diff(utf8(batch.column("text"))[1]))], ["curve", "size"])
         else:
             part = np.searchsorted(bounds, curve, side="right").astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), batch.column("tie"), pa.array(curve), pa.array(part)], ["doc_id", "text", "tie", "curve", "part"])
@@ -96,7 +96,7 @@ def _placed(bounds: np.ndarray | None):
     return by_batch(run)
 
 
-def along_curve(docs: DataFrame, partition_bytes: int = 64 << 20, sample_per_partition: int = 40, most_sampled: int = 1_000_000) -> DataFrame:
+def along_curve(docs: DataFrame, partition_bytes: int = 64 << 20, sample_per_partition: int = 100, most_sampled: int = 1_000_000) -> DataFrame:
     """doc_id, text, curve: in partitions that are ranges of the curve, sorted within."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id").alias("tie"))
@@ -105,8 +105,10 @@ def along_curve(docs: DataFrame, partition_bytes: int = 64 << 20, sample_per_par
     parts = max(1, min(parts, count))
     wanted = min(sample_per_partition * parts, most_sampled)
     sample = rows if wanted >= count else rows.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < int(1.2 * wanted / count * (1 << 30)))
-    places = np.sort(np.array([r[0] for r in sample.mapInArrow(_placed(None), "curve long").limit(2 * most_sampled).collect()], np.int64))
-    bounds = places[np.arange(1, parts) * len(places) // parts] if len(places) else places
+    found = np.array(sample.mapInArrow(_placed(None), "curve long, size long").limit(2 * most_sampled).collect(), np.int64).reshape(-1, 2)
+    found = found[np.argsort(found[:, 0], kind="stable")]
+    weight = np.cumsum(found[:, 1] + 64)  # equal shares of text, not of documents
+    bounds = found[np.searchsorted(weight, np.arange(1, parts) * (weight[-1] / parts)), 0] if len(found) else found[:, 0]
     placed = rows.mapInArrow(_placed(bounds), "doc_id long, text string, tie long, curve long, part int")
     return placed.repartitionById(parts, F.col("part")).sortWithinPartitions("curve", "doc_id", "tie").select("doc_id", "text", "curve")
 
