@@ -5,7 +5,8 @@ within `radius` differing bits agree on at least one of the ways to leave
 `radius` of `radius + 2` bands out, so each node is keyed once per way by the
 other bands and only nodes with a common key are compared.  A key held by more
 than `crowd` nodes is split by the same argument over the bits it leaves free,
-until no crowd is left or all 64 bits are keyed; no pair is lost.
+until no crowd is left or no more than `radius` bits are free, which at most
+2**radius nodes can share; no pair is lost.
 
 Within a key, 64 nodes at a time are held as 64 vertical bit planes.  A query
 adds its difference from each plane, for all 64 at once, to bitwise counters
@@ -183,21 +184,19 @@ def link_edges(nodes: DataFrame, radius: int, crowd: int) -> DataFrame:
     levels, done = ways, []
     keyed = nodes.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("way"), _key(F.col("fp"), w).alias("key")) for i, w in enumerate(ways)))).alias("k")).select("fp", "k.*")
     while True:
-        crowded = keyed.groupBy("way", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd)
+        open_ways = [i for i, kept in enumerate(levels) if 64 - len(kept) > radius]  # fewer free bits cannot be split, nor hold a crowd
+        crowded = keyed.where(F.col("way").isin(open_ways)).groupBy("way", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd)
         crowded = checkpointed(crowded.select("way", "key"))
         if crowded.isEmpty():
             done.append(keyed)
             break
         done.append(keyed.join(crowded, ["way", "key"], "left_anti"))
         finer, table = [], []
-        for i, kept in enumerate(levels):
-            free = [b for b in everything if b not in kept]
-            for band in _bands(free, radius + 1) if len(free) > radius else [free]:
+        for i in open_ways:
+            free = [b for b in everything if b not in levels[i]]
+            for band in _bands(free, radius + 1):
                 table.append((i, len(finer)))
-                finer.append(sorted(kept + band))
-        if all(len(w) == 64 for w in finer):
-            done.append(keyed.join(crowded, ["way", "key"], "left_semi"))
-            break
+                finer.append(sorted(levels[i] + band))
         sub = F.array(*(F.struct(F.lit(old).alias("old"), F.lit(new).alias("way"), _key(F.col("fp"), finer[new]).alias("key")) for old, new in table))
         keyed = checkpointed(keyed.join(crowded, ["way", "key"], "left_semi").select("fp", F.explode(F.filter(sub, lambda s: s["old"] == F.col("way"))).alias("k")).select("fp", F.col("k.way").alias("way"), F.col("k.key").alias("key")).distinct())
         levels = finer

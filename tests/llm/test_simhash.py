@@ -54,10 +54,9 @@ def test_upper_case_letters_only_are_lowered():
     assert simhash.shingle_hashes("É A\xa0b C".encode(), 3) == [xxhash.xxh64_intdigest("É a\xa0b c".encode(), 42)]
 
 
-@pytest.mark.parametrize("crowd", [1, 5, 4096])
-@pytest.mark.parametrize("radius", [1, 2, 3])
+@pytest.mark.parametrize(("radius", "crowd"), [(1, 1), (1, 5), (2, 5), (2, 4096), (3, 4096)])
 def test_links_of_crowded_fingerprints(checkpoints, spark, crowd, radius):
-    """Clusters a few bits wide, so that keys are shared by many: split keys lose no link."""
+    """Clusters a few bits wide, so that keys are shared by many: split keys lose no link.  A crowd of 1 splits to the last bit."""
     rng = random.Random(radius)
     values = set()
     for _ in range(6):
