@@ -79,13 +79,14 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, words: int) -> np.ndarra
 
 
 def with_fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id and fingerprint (a long with the 64 bits) of every row."""
+    """doc_id and fingerprint (a long with the 64 bits) of every row, with the further columns (longs) of `docs`."""
+    more = [c for c in docs.columns if c not in ("doc_id", "text")]
 
     def run(batch: pa.RecordBatch):
         got = fingerprints(*utf8(batch.column("text")), words)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got.view(np.int64)), *map(batch.column, more)], ["doc_id", "fp", *more])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(by_batch(run), "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).mapInArrow(by_batch(run), ", ".join(f"{c} long" for c in ["doc_id", "fp", *more]))
 
 
 def close_pairs(values: np.ndarray, ends: np.ndarray, radius: int, width: int = 64):
@@ -278,15 +279,15 @@ def components(edges: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def _linked(docs: DataFrame, words: int, radius: int, crowd: int) -> DataFrame:
-    """doc_id, fp, component_id per row."""
+    """doc_id, fp, root (equal in a component), component_id per row, with the further columns (longs) of `docs`."""
     rows = checkpointed(with_fingerprints(docs, words))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     nodes = checkpointed(nodes)
     links = components(link_edges(nodes.select("fp"), radius, crowd))
     joined = nodes.join(links, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.join(smallest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = joined.join(smallest, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, crowd: int = 4096) -> DataFrame:
@@ -297,20 +298,31 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, crowd: int
     other; repeated rows each get a row; other columns are ignored; an empty
     table gives an empty result.
     """
-    return _linked(docs, words, radius, crowd).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _linked(docs.select("doc_id", "text"), words, radius, crowd).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def row_keys() -> list:
+    """Two columns, k1 and k2: 128 bits that tell rows apart by doc_id (null or not) and text."""
+    parts = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull(), F.col("text").isNull(), F.col("text")]
+    return [F.xxhash64(F.lit(i), *parts).alias(f"k{i}") for i in (1, 2)]
+
+
+def one_a_component(docs: DataFrame, linked: DataFrame) -> DataFrame:
+    """`docs` in all its columns: the row with the smallest doc_id, then text, of each component; a null doc_id comes last.
+
+    `linked` has doc_id, k1, k2, root and component_id (the smallest doc_id under the root) per row.
+    """
+    kept = linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("k1", "k2", "root").distinct()
+    names = docs.columns
+    rows = docs.select(F.struct(*names).alias("row"), F.coalesce("text", F.lit("")).alias("_text"), *row_keys())
+    return rows.join(kept, ["k1", "k2"]).groupBy("root").agg(F.min_by("row", "_text").alias("row")).select("row.*")
 
 
 def keep_one(docs: DataFrame, words: int = 3, radius: int = 2, crowd: int = 4096) -> DataFrame:
     """`docs` in all its columns: of each component the row with the smallest doc_id.
 
-    Rows that repeat a doc_id are one document, of which the smallest text
-    stays.  Rows without a doc_id stay only where their component has no other.
+    Of rows in one component that repeat this doc_id the smallest text stays;
+    in different components both do.  Of rows without a doc_id one stays in
+    every component that has no other.
     """
-    linked = _linked(docs, words, radius, crowd)
-    kept = linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    names = docs.columns
-    one = lambda df: df.groupBy("doc_id").agg(F.min_by(F.struct(*names), F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
-    out = one(docs.join(kept.where("doc_id IS NOT NULL"), "doc_id", "left_semi"))
-    if kept.where("doc_id IS NULL").isEmpty():
-        return out
-    return out.unionByName(one(docs.where("doc_id IS NULL")))
+    return one_a_component(docs, _linked(docs.select("doc_id", "text", *row_keys()), words, radius, crowd))

@@ -117,3 +117,13 @@ def test_empty_table_and_keeping_one(checkpoints, spark):
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in expected(odd_rows())})
+
+
+def test_keeping_one_is_by_component(checkpoints, spark):
+    """Rows without a doc_id, or with one that repeats, stay once in each component they alone make up."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(10_000)}" for _ in range(50)) for _ in range(8)]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (None, ""), (1, None), (None, texts[2]), (2, texts[2]), (3, texts[3]), (3, texts[4]), (4, texts[4]), (None, texts[5])]
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_one(table_of(spark, rows)).collect()]
+    want = [(None, texts[0]), (None, texts[1]), (None, texts[5]), (1, None), (2, texts[2]), (3, texts[3]), (3, texts[4])]
+    assert sorted(kept, key=str) == sorted(want, key=str)
