@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passrate.llm import packing, pii, quality, simhash, suffixes
+from passrate.llm import packing, pii, quality, similar, suffixes
 from passrate.llm.common import ensure_checkpoint_dir, table
 
 
@@ -29,8 +29,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays, the one with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each component of near copies stays, the one with the smallest doc_id; links are a 5-word shingle similarity of 0.8 or more."""
+    return similar.keep_one(docs)
 
 
 def without_repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("quality classifier", keep_quality),
-    ("simhash near-dedup", one_of_near_duplicates),
+    ("near-dedup", one_of_near_duplicates),
     ("suffix-array dedup", without_repeated_bytes),
     ("pii", without_personal_data),
     ("packing", packed_sequences),
