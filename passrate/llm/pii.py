@@ -1,10 +1,11 @@
 """Personal data: direct identifiers by pattern, and the terms that give them away by corpus co-occurrence.
 
 Direct identifiers (e-mail and IP addresses, card and phone numbers) are found
-by pattern in every whole text.  Each is a protected entity.  Over the corpus,
-the words around an entity's mentions are counted against all entities: with
-N distinct contexts, n_e of them of the entity, n_t with the term and n_et with
-both, the term discloses
+by pattern in every whole text.  Each is a protected entity.  The words around
+an entity's mentions are counted against the whole corpus: of N contexts, n_e
+are of the entity, n_t hold the term and n_et are both.  The entity's distinct
+contexts count one each, and so does every distinct text elsewhere, with all
+its words.  The term discloses
 
     log(n_et N / (n_e n_t)) / log(N / n_e)
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -103,47 +105,81 @@ def contexts(text: str, spans: list[tuple[int, int, int]], words: int, reach: in
 
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 _NEAR = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("c", pa.int64()), ("s", pa.int32()), ("d", pa.int32())]))
-_FOUND = "doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, near array<struct<e:long,t:long,c:long,s:int,d:int>>"
+_FOUND = "text_key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, near array<struct<e:long,t:long,c:long,s:int,d:int>>, t long, n long"
+#: Words a task counts before it hands them on.
+_VOCABULARY = 1 << 19
+
+
+def words_of(text: str, spans: list[tuple[int, int, int]]) -> list[re.Match]:
+    """The words of a whole text outside its identifiers."""
+    out, at = [], 0
+    for start, _, end in [*spans, (len(text), 0, len(text))]:
+        if at < start:
+            out += _WORD.finditer(text, at, start)
+        at = max(at, end)
+    return out
+
+
+def text_key():
+    """A null text is an empty one."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def findings(docs: DataFrame, context_words: int = 8, support: int = 3, generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
     """Per row of `docs`: doc_id, text_key, the base counts and digest, base spans, and `terms` (start, end, remove).
 
-    Null and empty texts have no spans.  Only narrow columns pass a shuffle; the
-    statistics are sums over all contexts, pre-aggregated before each exchange.
+    Null and empty texts have no spans.  Each distinct text is read once; its
+    words are summed up a task before their exchange.
     """
 
-    def find(batch: pa.RecordBatch):
-        keys, counts, digests, base, near = [], [[], [], [], []], [], [], []
-        for value in batch.column("text"):
-            text = value.as_py() or ""
-            spans = base_spans(text)
-            keys.append(_hash(text) if spans else 0)
-            for kind in range(4):
-                counts[kind].append(sum(k == kind for _, k, _ in spans))
-            digests.append(hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest())
-            base.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
-            near.append(contexts(text, spans, context_words))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(keys, pa.int64()), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests), pa.array(base, _SPAN), pa.array(near, _NEAR)],
-            ["doc_id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"],
-        )
-
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(by_batch(find), _FOUND)
-    found = checkpointed(found.withColumn("row", F.monotonically_increasing_id()))
-    near = found.where(F.size("near") > 0).select("row", F.explode("near").alias("n")).select("row", "n.*")
-    seen = near.select("e", "t", "c").distinct()
-    both = seen.groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support)
-    of_entity = seen.select("e", "c").distinct().groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
-    of_term = seen.select("t", "c").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
-    total = near.select("c").distinct().count()
-    told = F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t"))) / F.log(F.lit(float(total)) / F.col("n_e"))
+    def find(batches):
+        counted: Counter = Counter()
+
+        def vocabulary():
+            none = lambda kind: pa.nulls(len(counted), kind)
+            columns = [*(none(pa.int64()) for _ in range(5)), none(pa.string()), none(_SPAN), none(_NEAR), pa.array(map(_hash, counted), pa.int64()), pa.array(counted.values(), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            counts, digests, base, near = [[], [], [], []], [], [], []
+            for value in batch.column("text"):
+                text = value.as_py()
+                spans = base_spans(text)
+                for kind in range(4):
+                    counts[kind].append(sum(k == kind for _, k, _ in spans))
+                digests.append(hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest())
+                base.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
+                near.append(contexts(text, spans, context_words))
+                counted.update({m.group().lower() for m in words_of(text, spans)} if spans else set(map(str.lower, _WORD.findall(text))))
+                if len(counted) > _VOCABULARY:
+                    yield vocabulary()
+                    counted.clear()
+            blank = pa.nulls(batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("text_key"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests), pa.array(base, _SPAN), pa.array(near, _NEAR), blank, blank], names)
+        if counted:
+            yield vocabulary()
+
+    names = ["text_key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near", "t", "n"]
+    texts = docs.select(text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["text_key"])
+    every = checkpointed(texts.mapInArrow(find, _FOUND))
+    found, vocabulary = every.where("t IS NULL").drop("t", "n"), every.where("t IS NOT NULL").groupBy("t").agg(F.sum("n").alias("texts_t"))
+    near = found.where(F.size("near") > 0).select("text_key", F.explode("near").alias("n")).select("text_key", "n.*")
+    seen = near.groupBy("e", "t", "c", "text_key").agg(F.lit(1))
+    both = seen.groupBy("e", "t").agg(F.countDistinct("c").alias("n_et"), F.countDistinct("text_key").alias("texts_et")).where(F.col("n_et") >= support)
+    of_entity = near.groupBy("e").agg(F.countDistinct("c").alias("n_e"), F.countDistinct("text_key").alias("texts_e"))
+    of_term = vocabulary.join(both.select("t").distinct(), "t", "left_semi")
+    n_t = F.col("n_et") + F.col("texts_t") - F.col("texts_et")
+    total = F.col("n_e") + F.lit(float(found.count())) - F.col("texts_e")
+    told = F.log(F.col("n_et") * total / (F.col("n_e") * n_t)) / F.log(total / F.col("n_e"))
     telling = (
         both.join(of_entity, "e").join(of_term, "t").where(F.col("n_e") < total)
         .select("e", "t", told.alias("told")).where(F.col("told") >= generalise_at)
     )
-    terms = near.join(telling, ["e", "t"]).groupBy("row").agg(F.collect_set(F.struct(F.col("s").alias("start"), F.col("d").alias("end"), (F.col("told") >= remove_at).alias("remove"))).alias("terms"))
-    return found.drop("near").join(terms, "row", "left").drop("row")
+    terms = near.join(telling, ["e", "t"]).groupBy("text_key").agg(F.collect_set(F.struct(F.col("s").alias("start"), F.col("d").alias("end"), (F.col("told") >= remove_at).alias("remove"))).alias("terms"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"))
+    return rows.join(found.drop("near").join(terms, "text_key", "left"), "text_key")
 
 
 def spans_string(base, terms):
@@ -181,13 +217,7 @@ def sanitise(docs: DataFrame, **params) -> DataFrame:
     spans = findings(docs, **params).where(F.size("base") > 0).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.col("base").alias("_base"), F.col("terms").alias("_terms"))
     spans = spans.dropDuplicates(["_d", "_k"])
 
-    def keyed(batch: pa.RecordBatch):
-        keys = [_hash(v.as_py() or "") for v in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, "_key"])
-
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    with_key = docs.mapInArrow(by_batch(keyed), StructType([*schema.fields, StructField("_key", LongType())]))
+    with_key = docs.withColumn("_key", text_key())
     joined = with_key.join(spans, (F.col("_key") == F.col("_k")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_d")), "left").select(*names, "_base", "_terms")
 
     def clean(batch: pa.RecordBatch):

@@ -78,3 +78,14 @@ def test_query_rows(checkpoints, spark):
     assert "Quillfeather" not in clean[500]["text"] and "<EMAIL>" in clean[500]["text"] and "@" not in clean[507]["text"]
     assert clean[300]["text"] is None and clean[301]["text"] == "" and clean[310]["text"] == text_of[310] and clean[310]["tie"] == "t"
     assert pii.pii_spans(table_of(spark, rows).where("doc_id < 0")).count() == 0
+
+
+def test_words_common_in_the_corpus_disclose_nothing(checkpoints, spark):
+    """A word that stands near one identifier only, but in many clean texts, is no term; a name that is nowhere else is."""
+    rows = [(i, f"alpha{chr(97 + i)} Quillfeather invoice beta{chr(97 + i)} quill@site.org") for i in range(5)]
+    rows += [(20 + i, f"other words {chr(97 + i)}xyz u{i}@site.org") for i in range(20)]
+    rows += [(100 + i, f"the invoice number {i} " + "clean prose " * 5) for i in range(200)]
+    spans = {r["doc_id"]: r["spans"] for r in pii.pii_spans(table_of(spark, rows)).collect()}
+    assert len(spans) == len(rows)
+    marked = {t[int(a) : int(b)] for d, t in rows for k, a, b in (s.split(":") for s in spans[d].split(",") if s) if k == "term"}
+    assert marked == {"Quillfeather"}
