@@ -11,8 +11,9 @@ its words.  The term discloses
 
 of the entity's information (pointwise mutual information over information
 content, at most 1).  Copies of a passage are one context, so repetition alone
-never makes a word disclosing.  A term near an entity that discloses at least
-`generalise_at` of it is generalised in that text, and from `remove_at` removed.
+never makes a word disclosing.  A term that discloses at least `generalise_at`
+of an entity is generalised wherever it stands in a text that mentions the
+entity, and from `remove_at` removed.
 """
 
 from __future__ import annotations
@@ -88,24 +89,31 @@ def _hash(value: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def entity_of(text: str, span: tuple[int, int, int]) -> int:
+    """The hash of an identifier, whatever its case or punctuation."""
+    start, kind, end = span
+    value = text[start:end].lower() if kind == 0 else "".join(c for c in text[start:end] if c.isdigit() or kind == 1)
+    return _hash(f"{KINDS[kind]}:{value}")
+
+
 def contexts(text: str, spans: list[tuple[int, int, int]], words: int, reach: int = 400) -> list[dict]:
-    """The words around each identifier: entity, term, context and the term's place."""
+    """The words around each identifier: entity, term and context."""
     out = []
     covered = [(a, b) for a, _, b in spans]
     for start, kind, end in spans:
-        value = text[start:end].lower() if kind == 0 else "".join(c for c in text[start:end] if c.isdigit() or kind == 1)
-        entity = _hash(f"{KINDS[kind]}:{value}")
+        entity = entity_of(text, (start, kind, end))
         before = list(_WORD.finditer(text, max(0, start - reach), start))[-words:]
         after = list(_WORD.finditer(text, end, min(len(text), end + reach)))[:words]
         terms = [m for m in before + after if not any(a < m.end() and m.start() < b for a, b in covered)]
         context = _hash(" ".join(m.group().lower() for m in terms))
-        out += [{"e": entity, "t": _hash(m.group().lower()), "c": context, "s": m.start(), "d": m.end()} for m in terms]
+        out += [{"e": entity, "t": _hash(m.group().lower()), "c": context} for m in terms]
     return out
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-_NEAR = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("c", pa.int64()), ("s", pa.int32()), ("d", pa.int32())]))
-_FOUND = "text_key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, near array<struct<e:long,t:long,c:long,s:int,d:int>>, t long, n long"
+_NEAR = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("c", pa.int64())]))
+_WORDS = pa.list_(pa.struct([("t", pa.int64()), ("s", pa.int32()), ("d", pa.int32())]))
+_FOUND = "text_key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, near array<struct<e:long,t:long,c:long>>, entities array<long>, words array<struct<t:long,s:int,d:int>>, t long, n long"
 #: Words a task counts before it hands them on.
 _VOCABULARY = 1 << 19
 
@@ -137,13 +145,13 @@ def findings(docs: DataFrame, context_words: int = 8, support: int = 3, generali
 
         def vocabulary():
             none = lambda kind: pa.nulls(len(counted), kind)
-            columns = [*(none(pa.int64()) for _ in range(5)), none(pa.string()), none(_SPAN), none(_NEAR), pa.array(map(_hash, counted), pa.int64()), pa.array(counted.values(), pa.int64())]
+            columns = [*(none(pa.int64()) for _ in range(5)), none(pa.string()), none(_SPAN), none(_NEAR), none(pa.list_(pa.int64())), none(_WORDS), pa.array(map(_hash, counted), pa.int64()), pa.array(counted.values(), pa.int64())]
             return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            counts, digests, base, near = [[], [], [], []], [], [], []
+            counts, digests, base, near, entities, words = [[], [], [], []], [], [], [], [], []
             for value in batch.column("text"):
                 text = value.as_py()
                 spans = base_spans(text)
@@ -152,16 +160,19 @@ def findings(docs: DataFrame, context_words: int = 8, support: int = 3, generali
                 digests.append(hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest())
                 base.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
                 near.append(contexts(text, spans, context_words))
-                counted.update({m.group().lower() for m in words_of(text, spans)} if spans else set(map(str.lower, _WORD.findall(text))))
+                entities.append(list({entity_of(text, s) for s in spans}))
+                found = [(m.group().lower(), m.start(), m.end()) for m in words_of(text, spans)] if spans else []
+                words.append([{"t": _hash(w), "s": a, "d": b} for w, a, b in found])
+                counted.update({w for w, _, _ in found} if spans else set(map(str.lower, _WORD.findall(text))))
                 if len(counted) > _VOCABULARY:
                     yield vocabulary()
                     counted.clear()
             blank = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("text_key"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests), pa.array(base, _SPAN), pa.array(near, _NEAR), blank, blank], names)
+            yield pa.RecordBatch.from_arrays([batch.column("text_key"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests), pa.array(base, _SPAN), pa.array(near, _NEAR), pa.array(entities, pa.list_(pa.int64())), pa.array(words, _WORDS), blank, blank], names)
         if counted:
             yield vocabulary()
 
-    names = ["text_key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near", "t", "n"]
+    names = ["text_key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near", "entities", "words", "t", "n"]
     texts = docs.select(text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["text_key"])
     every = checkpointed(texts.mapInArrow(find, _FOUND))
     found, vocabulary = every.where("t IS NULL").drop("t", "n"), every.where("t IS NOT NULL").groupBy("t").agg(F.sum("n").alias("texts_t"))
@@ -177,9 +188,12 @@ def findings(docs: DataFrame, context_words: int = 8, support: int = 3, generali
         both.join(of_entity, "e").join(of_term, "t").where(F.col("n_e") < total)
         .select("e", "t", told.alias("told")).where(F.col("told") >= generalise_at)
     )
-    terms = near.join(telling, ["e", "t"]).groupBy("text_key").agg(F.collect_set(F.struct(F.col("s").alias("start"), F.col("d").alias("end"), (F.col("told") >= remove_at).alias("remove"))).alias("terms"))
+    told_of = found.select("text_key", F.explode("entities").alias("e")).join(telling, "e").groupBy("text_key", "t").agg(F.max("told").alias("told"))
+    told_of = told_of.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("t", F.col("told") >= remove_at))).alias("told"))
+    place = lambda w: F.struct(w["s"].alias("start"), w["d"].alias("end"), F.element_at("told", w["t"]).alias("remove"))
+    terms = found.select("text_key", "words").join(told_of, "text_key").select("text_key", F.transform(F.filter("words", lambda w: F.map_contains_key("told", w["t"])), place).alias("terms"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"))
-    return rows.join(found.drop("near").join(terms, "text_key", "left"), "text_key")
+    return rows.join(found.drop("near", "entities", "words").join(terms, "text_key", "left"), "text_key")
 
 
 def spans_string(base, terms):

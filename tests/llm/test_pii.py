@@ -89,3 +89,18 @@ def test_words_common_in_the_corpus_disclose_nothing(checkpoints, spark):
     assert len(spans) == len(rows)
     marked = {t[int(a) : int(b)] for d, t in rows for k, a, b in (s.split(":") for s in spans[d].split(",") if s) if k == "term"}
     assert marked == {"Quillfeather"}
+
+
+def test_terms_are_marked_throughout_the_texts_of_their_entity(checkpoints, spark):
+    """Far from the identifier, and beside another one, a name goes wherever the text mentions its entity; elsewhere it stays."""
+    far = " ".join(["plain filler text"] * 60)
+    rows = [(i, f"alpha{chr(97 + i)} Quillfeather beta{chr(97 + i)} quill@site.org") for i in range(4)]
+    rows += [(10, f"quill@site.org {far} Then quillfeather and Quillfeather left. {far}"), (11, f"Quillfeather alone, {far}")]
+    rows += [(100 + i, f"clean prose {i} {far}") for i in range(100)]
+    spans = {r["doc_id"]: r["spans"] for r in pii.pii_spans(table_of(spark, rows)).collect()}
+    text = dict(rows)
+    marked = {d: [text[d][int(a) : int(b)] for k, a, b in (s.split(":") for s in spans[d].split(",") if s) if k == "term"] for d in text}
+    assert marked[10] == ["quillfeather", "Quillfeather"] and marked[11] == [] and marked[0] == ["Quillfeather"]
+    assert not any(marked[100 + i] for i in range(100))
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(table_of(spark, rows)).collect()}
+    assert "uillfeather" not in clean[10] and clean[11] == text[11]
