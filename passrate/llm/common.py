@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,12 +79,38 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
+def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of every `width` consecutive values, by doubling: mixed at each step, so no sums cancel."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    out, done, power, size = None, 0, values.astype(U64), 1
+    odd = U64(0xD6E8FEB86659FD93)
+    while True:
+        if width & size:
+            piece = power[done : done + n]
+            out = piece if out is None else mix64(out * odd + piece)
+            done += size
+        if 2 * size > width:
+            return out
+        power = mix64(power[:-size] * odd + power[size:])
+        size *= 2
+
+
+def digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """XXH3 of each range of the data, two 64-bit halves a row."""
+    view, known = memoryview(data), xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([known(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), U64).reshape(-1, 2)
+
+
 class RollingHash:
     """Polynomial hash modulo 2**64 over a symbol sequence, by prefix sums.
 
     The hash of symbols[i:j] is the difference of two prefix sums divided by
     the power of the start, so it depends on the symbols alone and any range
-    costs two look-ups.
+    costs two look-ups.  Some unlike strings of 1,024 symbols and more have the
+    same hash whatever the base: it picks places and features, and never says
+    that two strings are equal.
     """
 
     _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}

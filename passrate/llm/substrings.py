@@ -8,9 +8,10 @@ the buckets are as many as the blocks) and travels as the sorted list of its
 non-zero cells.  At a given volume one wide row lets less through than several
 narrow ones, so the depth is 1.
 
-Second pass: the windows that are left are grouped exactly, by a 96-bit hash of
-their words, and the earliest of each group is found.  A block sends each
-window once, at its first place in the block.
+Second pass: the windows that are left are grouped, and the earliest of each
+group is found.  A window goes by 128 bits: XXH3 of each word, mixed again at
+every doubling of the run, in two lanes.  A block sends each window once, at
+its first place in the block.
 """
 
 from __future__ import annotations
@@ -20,16 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
 from passrate.llm.blocks import Block, dealt, exchange, received
-from passrate.llm.common import CHUNK_BYTES, U64, RollingHash, byte_codes, mix64
+from passrate.llm.common import CHUNK_BYTES, U64, digests, window_hashes
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_SEEDS = (11, 23)
 #: Bits of a bucket's share of the sketch: some 50 cells for each window it is dealt.
 CELL_BITS = 26
 
@@ -49,28 +48,19 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    """Two independent 64-bit hashes of every word."""
-    out = [np.empty(len(starts), U64) for _ in _SEEDS]
-    codes = [byte_codes(s) for s in _SEEDS]
-    at = 0
-    while at < len(starts):
-        if ends[at] - starts[at] > CHUNK_BYTES:
-            for lane, seed in zip(out, _SEEDS, strict=True):
-                lane[at] = xxhash.xxh3_64_intdigest(data[starts[at] : ends[at]].tobytes(), seed)
-            at += 1
-            continue
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + CHUNK_BYTES, side="right")))
-        low = starts[at]
-        piece = data[low : ends[to - 1]]
-        for lane, seed, code in zip(out, _SEEDS, codes, strict=True):
-            lane[at:to] = mix64(RollingHash(code[piece], seed).ranges(starts[at:to] - low, ends[at:to] - low) + (ends[at:to] - starts[at:to]).astype(U64))
-        at = to
-    return out
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128 bits of every word, in two rows: XXH3 of each distinct word."""
+    if not len(starts):
+        return np.zeros((2, 0), U64)
+    offsets = np.concatenate(([0], np.cumsum(ends - starts)))
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[~_BLANK[data]])]).dictionary_encode()
+    _, bounds, raw = words.dictionary.buffers()
+    bounds = np.frombuffer(bounds, np.int64)[: len(words.dictionary) + 1]
+    return digests(raw, bounds[:-1], bounds[1:])[words.indices.to_numpy()].T
 
 
 class Windows:
-    """The windows of a block: place, row and two hashes of each."""
+    """The windows of a block: place, row and 128 bits of each."""
 
     def __init__(self, block: Block, width: int):
         self.starts, self.ends, self.rows = words_of(block.data, block.offsets)
@@ -78,18 +68,16 @@ class Windows:
         n = len(self.starts)
         whole = np.flatnonzero(self.rows[: n - width + 1] == self.rows[width - 1 :]) if n >= width else np.zeros(0, np.int64)
         self.at = whole  # index of the first word
-        self.key, self.check = (mix64(_windows(lane, width, seed)[whole]) if n >= width else np.zeros(0, U64) for lane, seed in zip(lanes, _SEEDS, strict=True))
-        self.check = (self.check >> U64(32)).astype(np.uint32)
+        self.key, self.check = (_windows(lane, width)[whole] if n >= width else np.zeros(0, U64) for lane in lanes)
         base = np.searchsorted(self.rows, np.arange(len(block.offsets) - 1))
         self.start = (whole - base[self.rows[whole]]).astype(np.int64)  # counted in the document
         self.doc = block.ids[self.rows[whole]]
 
 
-def _windows(lane: np.ndarray, width: int, seed: int) -> np.ndarray:
+def _windows(lane: np.ndarray, width: int) -> np.ndarray:
     out = np.empty(len(lane) - width + 1, U64)
     for at in range(0, len(out), CHUNK_BYTES):
-        part = lane[at : at + CHUNK_BYTES + width - 1]
-        out[at : at + CHUNK_BYTES] = RollingHash(part, seed + 100).all(width)
+        out[at : at + CHUNK_BYTES] = window_hashes(lane[at : at + CHUNK_BYTES + width - 1], width)
     return out
 
 
@@ -183,7 +171,7 @@ class WindowDedup:
             key, check, doc, start = (blob[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True))
             blocks.append(b)
             keys.append(np.frombuffer(key, U64))
-            checks.append(np.frombuffer(check, np.uint32))
+            checks.append(np.frombuffer(check, U64))
             docs.append(unpack(doc).view(np.int64))
             starts.append(unpack(start).astype(np.int64))
         sizes = [len(k) for k in keys]

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from passrate.llm.blocks import Block, dealt, exchange, received
-from passrate.llm.common import CHUNK_BYTES, U64, RollingHash, byte_codes, mix64, sliding_min, spans_of_rows
+from passrate.llm.common import CHUNK_BYTES, U64, RollingHash, byte_codes, digests, mix64, sliding_min, spans_of_rows
 
 _BITS = 21  # of a place in a segment; segments hold under 2**21 bytes
 _PLACE = U64((1 << _BITS) - 1)
@@ -152,8 +152,10 @@ class Anchors:
         last[:-1] &= new[1:] | ~valid[1:n]
         high = np.flatnonzero(last)
         a = place[low]
-        context = mix64(rolling.ranges(low, high + length) ^ mix64(((a - low) * 1024 + (high - low)).astype(U64)))
-        return a + lo, low + lo, high + lo, grams[a], context
+        raw = data.tobytes()
+        shape = mix64(((a - low) * 1024 + (high - low)).astype(U64))
+        context = mix64(digests(raw, low, high + length)[:, 0] ^ shape)
+        return a + lo, low + lo, high + lo, digests(raw, a, a + gram)[:, 0], context
 
 
 def _segments(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, tuple[int, int]]]:
@@ -306,8 +308,9 @@ class SuffixDedup:
             base = int(low[at])
             p = np.concatenate([np.arange(x, y + 1) for x, y in zip(low[at:to].tolist(), high[at:to].tolist(), strict=True)]) - base
             piece = block.data[base : int(high[to - 1]) + self.length]
-            for lane, seed in ((one, 31), (two, 37)):
-                lane.append(mix64(RollingHash(byte_codes(seed)[piece], seed).ranges(p, p + self.length)))
+            both = digests(piece.tobytes(), p, p + self.length)
+            one.append(both[:, 0])
+            two.append(both[:, 1])
             starts.append(p + base)
             at = to
         return np.concatenate(starts), np.concatenate(one), np.concatenate(two)

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from passrate.llm import blocks, substrings
+from passrate.llm.common import window_hashes
 from tests.llm.conftest import odd_rows, table_of
 
 
@@ -59,6 +60,29 @@ def test_long_words_and_chunks():
     assert one[0][0] == one[0][5] and one[1][1] == one[1][2] and len(set(one[0].tolist())) == 4
 
 
+def thue_morse(n: int) -> str:
+    return "".join("ab"[i.bit_count() & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_and_windows_that_cancel_in_polynomial_hashes(spark, n):
+    """A Thue-Morse word and its complement have the same polynomial hash modulo 2**64; as words, and as windows of one-letter words."""
+    one = thue_morse(n)
+    two = one.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{one} {tail}"), (2, f"{two} {tail}"), (3, " ".join(one)), (4, " ".join(two))]
+    assert got(substrings.repeated_windows(table_of(spark, rows[:2]))) == brute(rows[:2], 20)
+    assert got(substrings.repeated_windows(table_of(spark, rows[2:]), n)) == brute(rows[2:], n)
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 7, 20, 64])
+def test_window_hashes_tell_windows_apart(width):
+    values = np.random.default_rng(1).integers(0, 3, 300).astype(np.uint64)
+    hashes = window_hashes(values, width)
+    windows = [tuple(values[i : i + width].tolist()) for i in range(len(values) - width + 1)]
+    assert len(hashes) == len(windows) and len(set(zip(windows, hashes.tolist(), strict=True))) == len(set(windows)) == len(set(hashes.tolist()))
+
+
 def test_packing_of_integers():
     values = np.sort(np.random.default_rng(0).integers(0, 1 << 62, 1000).astype(np.uint64))
     assert np.array_equal(substrings.unpack(substrings.pack(values)), values)
