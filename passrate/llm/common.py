@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,11 +26,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that spark.checkpoint.dir names; make one only where it is unset (single-machine tests)."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(conf or tempfile.mkdtemp(prefix="passrate-ckpt-"))
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder, as spark.checkpoint.dir names it; where it is unset one is made, on a single machine only."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="passrate-ckpt-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared one; it is deleted when the driver ends."""
+    folder = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The table, written to the shared folder and read again: lineage ends here, and later branches read the columns they use."""
+    folder = shared_folder(df.sparkSession, "table")
+    df.write.mode("append").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """A column name that the table has not, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
