@@ -7,13 +7,11 @@ return the columns of `documents`.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passrate.llm import packing, pii, quality, similar, suffixes
-from passrate.llm.common import ensure_checkpoint_dir, table
+from passrate.llm.common import shared_folder, table
 
 
 def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -29,7 +27,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies stays, the one with the smallest doc_id; links are a 5-word shingle similarity of 0.8 or more."""
+    """One document of each component of near copies stays, the one with the smallest doc_id: SimHash candidates, linked at a 5-word shingle similarity of 0.8 or more."""
     return similar.keep_one(docs)
 
 
@@ -50,7 +48,7 @@ def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("quality classifier", keep_quality),
-    ("near-dedup", one_of_near_duplicates),
+    ("simhash near-dedup", one_of_near_duplicates),
     ("suffix-array dedup", without_repeated_bytes),
     ("pii", without_personal_data),
     ("packing", packed_sequences),
@@ -62,8 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written to the shared folder and read again."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")

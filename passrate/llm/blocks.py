@@ -8,7 +8,8 @@ answers go back to the blocks by number.  Two such rounds make an operator:
     texts -> sketch -> [bucket] sketch_merge -> texts -> detail -> [bucket] detail_merge -> texts -> finish
 
 A block holds about BLOCK_BYTES of text and is dealt by a hash of the document,
-so no source, language or group of copies fills one.  What a block sends is
+so no source, language or group of copies fills one; rows without a doc_id are
+dealt by their place in the input besides, so that repeated ones part.  What a block sends is
 distinct within the block: a key that a third of all documents share reaches
 its bucket once a block, never once a row.  A block's content and order follow
 from its rows alone, so a block made again after an executor's loss is equal.
@@ -83,7 +84,7 @@ def exchange(
     """Run both rounds over (doc_id, text); `carry` names further columns that `finish` gets under their own names."""
     n = n_blocks(docs)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / BLOCKS_PER_TASK))
-    row_key = F.xxhash64(F.coalesce("doc_id", F.lit(0)), "text")
+    row_key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id()), "text")
     packed = [F.struct(*carry).alias("carried")] if carry else []
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *packed).withColumn("row_key", row_key).withColumn("block", F.pmod(F.col("row_key"), F.lit(n)))
     texts = texts.repartition(parts, "block")  # all three passes read this one exchange

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passrate.llm.common import CHUNK_BYTES, by_batch
+from passrate.llm.common import CHUNK_BYTES, by_batch, unused
 
 UNIT = 576
 #: Blocks between restart markers: divides UNIT, so an interval never spans two payloads.
@@ -441,9 +441,15 @@ def stored_texts(docs: DataFrame, keep_media: bool = False) -> DataFrame:
 def describe(media: DataFrame, column: str = "media") -> DataFrame:
     """Add width, height, thumbnail (its bytes, by rows), thumbnail_hash and error to a table with a JPEG column.
 
-    A null or broken file has an error and nulls; of several images the first counts.
+    A null or broken file has an error and nulls; of several images the first
+    counts.  Where the table has a column of such a name already, the new one's
+    name ends in as many underscores as make it new.  Repeated rows each get
+    their columns; an empty table gives an empty result.
     """
     names = media.columns
+    added: list[str] = []
+    for name in ("width", "height", "thumbnail", "thumbnail_hash", "error"):
+        added.append(unused(name, [*names, *added]))
 
     def one(data: bytes | None):
         try:
@@ -458,9 +464,9 @@ def describe(media: DataFrame, column: str = "media") -> DataFrame:
     def run(batch: pa.RecordBatch):
         rows = [one(v.as_py()) for v in batch.column(names.index(column))]
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], [*names, "width", "height", "thumbnail", "thumbnail_hash", "error"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], [*names, *added])
 
     from pyspark.sql.types import StructType
 
-    more = StructType.fromDDL("width int, height int, thumbnail binary, thumbnail_hash string, error string")
+    more = StructType.fromDDL(", ".join(f"{n} {t}" for n, t in zip(added, ("int", "int", "binary", "string", "string"), strict=True)))
     return media.mapInArrow(by_batch(run), StructType([*media.schema.fields, *more.fields]))

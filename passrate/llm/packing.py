@@ -99,13 +99,14 @@ def _placed(bounds: np.ndarray | None):
 def along_curve(docs: DataFrame, partition_bytes: int = 64 << 20, sample_per_partition: int = 100, most_sampled: int = 1_000_000) -> DataFrame:
     """doc_id, text, curve: in partitions that are ranges of the curve, sorted within."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id").alias("tie"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id())).alias("tie"))  # rows without a doc_id part by their place in the input
     count, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / partition_bytes))
-    parts = max(1, min(parts, count))
+    parts = max(1, min(parts, count, most_sampled // 10))  # beyond, ranges grow: ten sampled documents a bound at least
     wanted = min(sample_per_partition * parts, most_sampled)
     sample = rows if wanted >= count else rows.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < int(1.2 * wanted / count * (1 << 30)))
-    found = np.array(sample.mapInArrow(_placed(None), "curve long, size long").limit(2 * most_sampled).collect(), np.int64).reshape(-1, 2)
+    sampled = sample.mapInArrow(_placed(None), "curve long, size long").limit(2 * most_sampled).toArrow()
+    found = np.stack([sampled.column(c).to_numpy() for c in ("curve", "size")], axis=1).astype(np.int64)
     found = found[np.argsort(found[:, 0], kind="stable")]
     weight = np.cumsum(found[:, 1] + 64)  # equal shares of text, not of documents
     bounds = found[np.searchsorted(weight, np.arange(1, parts) * (weight[-1] / parts)), 0] if len(found) else found[:, 0]

@@ -157,9 +157,9 @@ def _near(docs: DataFrame, words: int) -> DataFrame:
 
 def _bitmap(terms: DataFrame) -> bytes:
     """Bit t modulo BITMAP_BITS is set for every term t; at most BITMAP_BITS / 64 rows reach the driver."""
-    rows = terms.select(F.pmod("t", F.lit(BITMAP_BITS)).alias("at")).groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).toPandas()
+    rows = terms.select(F.pmod("t", F.lit(BITMAP_BITS)).alias("at")).groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).toArrow()
     out = np.zeros(BITMAP_BITS // 64, np.int64)
-    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
     return out.tobytes()
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passrate.llm.common import by_batch
+from passrate.llm.common import by_batch, unused
 
 
 def in_fold(doc_id, folds: int = 5):
@@ -47,8 +47,7 @@ class CompressionClassifier:
     def features(sizes: np.ndarray) -> np.ndarray:
         good, bad, n = sizes.T
         difference, least = (bad - good) / (n + 1), np.minimum(good, bad) / (n + 1)
-        short = 1 / np.sqrt(n + 1)
-        return np.column_stack([np.ones(len(n)), 10 * difference, 10 * difference * short, least, least**2, np.log(least + 0.01), short])
+        return np.column_stack([np.ones(len(n)), 10 * difference, least, least**2, np.log(least + 0.01)])
 
     def score(self, sizes: np.ndarray) -> np.ndarray:
         if not self.weights:
@@ -93,7 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, max_text_byte
     model = CompressionClassifier(level=level, prior=share.get(1, 0) / total if total else 0.5)
     sample = [usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
     picked = F.broadcast(sample[0].unionByName(sample[1]))  # at most 2 * per_class rows of two numbers
-    rows = docs.select(F.col("doc_id").alias("_id"), "text").where(F.octet_length("text") <= max_text_bytes).join(picked, F.col("_id") == F.col("doc_id")).select("_id", "quality", "text").collect()
+    rows = docs.select(F.col("doc_id").alias("_id"), "text").where(F.octet_length("text") <= max_text_bytes).join(picked, F.col("_id") == F.col("doc_id")).groupBy("_id", "quality").agg(F.min("text").alias("text")).collect()  # one text a picked doc_id
     by_class: dict[int, list[bytes]] = {0: [], 1: []}
     for _, quality, text in sorted(rows, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[2]))[: 2 * per_class]:
         by_class[quality].append(text.encode())
@@ -148,6 +147,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, *
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **params) -> DataFrame:
-    """The rows of `docs`, in all their columns, whose score reaches the threshold."""
-    scored = with_scores(docs, fit(docs, labels, **params), "_quality_score")
-    return scored.where(F.col("_quality_score") >= threshold).drop("_quality_score")
+    """The rows of `docs`, in all their columns, whatever their names, whose score reaches the threshold.
+
+    Null and empty texts have the share of label 1 as their score; repeated
+    rows stay or go together; an empty table gives an empty result.
+    """
+    score = unused("score", docs.columns)
+    scored = with_scores(docs, fit(docs.select("doc_id", "text"), labels, **params), score)
+    return scored.where(F.col(score) >= threshold).select(*docs.columns)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passrate.llm.common import U64, by_batch, checkpointed, utf8
+from passrate.llm.common import U64, by_batch, checkpointed, spans_of_rows, stored, utf8
 
 SEED = 42
 
@@ -45,36 +45,34 @@ def shingle_hashes(text: bytes, words: int) -> list[int]:
     return [digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)]
 
 
+def majority(hashes: list) -> np.ndarray:
+    """One fingerprint a list of hashes: a bit is 1 if it is set in over half of them; without hashes all are 0."""
+    sizes = np.array([len(h) for h in hashes], np.int64)
+    out = np.zeros(len(hashes), U64)
+    some = np.flatnonzero(sizes)
+    begin = 0
+    while begin < len(some):  # some 2**17 hashes at a time; a longer list alone, piece by piece
+        stop = begin + max(1, int(np.searchsorted(np.cumsum(sizes[some[begin:]]), 1 << 17, side="right")))
+        rows = some[begin:stop]
+        flat = np.concatenate([np.asarray(hashes[r], U64) for r in rows.tolist()])
+        if len(rows) == 1:
+            ones = sum(_bits(flat[i : i + (1 << 17)]).sum(axis=0, dtype=np.int64) for i in range(0, len(flat), 1 << 17))[None]
+        else:
+            ones = np.add.reduceat(_bits(flat), np.cumsum(sizes[rows]) - sizes[rows], axis=0, dtype=np.int32)
+        out[rows] = np.packbits(2 * ones > sizes[rows][:, None], axis=1, bitorder="little").view(U64).ravel()
+        begin = stop
+    return out
+
+
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
 def fingerprints(data: np.ndarray, offsets: np.ndarray, words: int) -> np.ndarray:
-    """A bit is 1 if it is set in over half of the shingle hashes; without words all are 0."""
+    """The fingerprint of every row's shingles, repeats included."""
     out = np.zeros(len(offsets) - 1, U64)
-    pending, rows, held = [], [], 0
-
-    def flush():
-        if not rows:
-            return
-        hashes = np.array([h for hs in pending for h in hs], U64)
-        sizes = np.array([len(h) for h in pending])
-        starts = np.cumsum(sizes) - sizes
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        out[rows] = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(U64).ravel()
-
-    for row in range(len(out)):
-        hashes = shingle_hashes(data[offsets[row] : offsets[row + 1]].tobytes(), words)
-        if not hashes:
-            continue
-        if len(hashes) > 1 << 18:  # a very long text is counted piece by piece
-            ones = sum(np.unpackbits(np.array(hashes[i : i + (1 << 18)], U64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for i in range(0, len(hashes), 1 << 18))
-            out[row] = np.packbits(2 * ones > len(hashes), bitorder="little").view(U64)[0]
-            continue
-        pending.append(hashes)
-        rows.append(row)
-        held += len(hashes)
-        if held > 1 << 17:
-            flush()
-            pending, rows, held = [], [], 0
-    flush()
+    for a, b in spans_of_rows(offsets):
+        out[a:b] = majority([shingle_hashes(data[x:y].tobytes(), words) for x, y in zip(offsets[a:b].tolist(), offsets[a + 1 : b + 1].tolist(), strict=True)])
     return out
 
 
@@ -208,26 +206,35 @@ def link_edges(nodes: DataFrame, radius: int, crowd: int) -> DataFrame:
     return edges.distinct()
 
 
-def _linker(radius: int, at_once: int = 1 << 18):
-    """Rows come sorted by way and key; whole groups are compared, about `at_once` rows at a time."""
+def _linker(radius: int):
+    """Whole groups of way and key are compared; the linked of a task's share leave it as a forest."""
 
-    def linked(rows: pa.Table):
-        way, key, fp = (rows.column(c).to_numpy() for c in ("way", "key", "fp"))
-        last = np.ones(len(fp), bool)
-        last[:-1] = (way[1:] != way[:-1]) | (key[1:] != key[:-1])
-        ends = np.flatnonzero(last) + 1
-        starts = np.concatenate(([0], ends[:-1]))
-        keep = np.flatnonzero(np.repeat(ends - starts > 1, ends - starts))
-        if not len(keep):
-            return
-        ends = np.searchsorted(keep, np.repeat(ends, ends - starts)[keep])
-        fp = fp[keep]
+    def linked(rows: pa.Table, ends: np.ndarray):
+        fp = rows.column("fp").to_numpy()
         nodes, index = np.unique(fp, return_inverse=True)
         root = forest(len(nodes), ((index[a], index[b]) for a, b in close_pairs(fp.view(U64), ends, radius)))
         out = np.flatnonzero(root != np.arange(len(root)))
         if len(out):
             yield pa.RecordBatch.from_arrays([pa.array(nodes[out]), pa.array(nodes[root[out]])], ["a", "b"])
 
+    return grouped_rows(("way", "key"), linked)
+
+
+def grouped_rows(by: tuple[str, ...], work, at_once: int = 1 << 18):
+    """A mapInArrow function over rows sorted by these columns: whole groups, some `at_once` rows at a time, go to
+    `work` with the end of each row's group; groups of one are left out."""
+
+    def whole(rows: pa.Table):
+        last = np.ones(rows.num_rows, bool)
+        for c in by:
+            values = rows.column(c).to_numpy()
+            last[:-1] = (values[1:] != values[:-1]) if c == by[0] else last[:-1] | (values[1:] != values[:-1])
+        ends = np.flatnonzero(last) + 1
+        sizes = np.diff(ends, prepend=0)
+        keep = np.flatnonzero(np.repeat(sizes > 1, sizes))
+        if len(keep):
+            yield from work(rows.take(pa.array(keep)), np.searchsorted(keep, np.repeat(ends, sizes)[keep]))
+
     def run(batches):
         held: list[pa.Table] = []
         size = 0
@@ -238,14 +245,14 @@ def _linker(radius: int, at_once: int = 1 << 18):
             size += batch.num_rows
             if size >= at_once:
                 rows = pa.concat_tables(held)
-                way, key = rows.column("way").to_numpy(), rows.column("key").to_numpy()
-                whole = np.flatnonzero((way != way[-1]) | (key != key[-1]))
-                cut = int(whole[-1]) + 1 if len(whole) else 0
+                columns = [rows.column(c).to_numpy() for c in by]
+                other = np.flatnonzero(np.logical_or.reduce([c != c[-1] for c in columns]))
+                cut = int(other[-1]) + 1 if len(other) else 0
                 if cut:
-                    yield from linked(rows.slice(0, cut))
+                    yield from whole(rows.slice(0, cut))
                 held, size = [rows.slice(cut)], rows.num_rows - cut
         if size:
-            yield from linked(pa.concat_tables(held))
+            yield from whole(pa.concat_tables(held))
 
     return run
 
@@ -280,7 +287,7 @@ def components(edges: DataFrame, limit: int = 100) -> DataFrame:
 
 def _linked(docs: DataFrame, words: int, radius: int, crowd: int) -> DataFrame:
     """doc_id, fp, root (equal in a component), component_id per row, with the further columns (longs) of `docs`."""
-    rows = checkpointed(with_fingerprints(docs, words))
+    rows = stored(with_fingerprints(docs, words))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     nodes = checkpointed(nodes)
     links = components(link_edges(nodes.select("fp"), radius, crowd))
@@ -308,14 +315,15 @@ def row_keys() -> list:
 
 
 def one_a_component(docs: DataFrame, linked: DataFrame) -> DataFrame:
-    """`docs` in all its columns: the row with the smallest doc_id, then text, of each component; a null doc_id comes last.
+    """`docs` in all its columns, whatever their names: the row with the smallest doc_id, then text, then other columns, of each component; a null doc_id comes last.
 
     `linked` has doc_id, k1, k2, root and component_id (the smallest doc_id under the root) per row.
     """
     kept = linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("k1", "k2", "root").distinct()
     names = docs.columns
-    rows = docs.select(F.struct(*names).alias("row"), F.coalesce("text", F.lit("")).alias("_text"), *row_keys())
-    return rows.join(kept, ["k1", "k2"]).groupBy("root").agg(F.min_by("row", "_text").alias("row")).select("row.*")
+    others = F.to_json(F.struct(*(n for n in names if n != "text"))) if len(names) > 1 else F.lit("")
+    rows = docs.select(F.struct(*names).alias("row"), F.struct(F.coalesce("text", F.lit("")), others).alias("rank"), *row_keys())
+    return rows.join(kept, ["k1", "k2"]).groupBy("root").agg(F.min_by("row", "rank").alias("row")).select("row.*")
 
 
 def keep_one(docs: DataFrame, words: int = 3, radius: int = 2, crowd: int = 4096) -> DataFrame:

@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from passrate.llm.blocks import Block, dealt, exchange, received
@@ -450,7 +451,8 @@ def repeated_bytes(docs: DataFrame, length: int = 200, **params) -> DataFrame:
 def drop_repeated_bytes(docs: DataFrame, length: int = 200, **params) -> DataFrame:
     """`docs` in all its columns with those bytes removed from `text`; of a character cut in two no byte stays.
 
-    A null text stays null.
+    A null text stays null; repeated rows remove each other; an empty table
+    gives an empty result; doc_id keeps its type and other columns their names.
     """
     dedup = SuffixDedup(length, **params)
     names = [f.name for f in docs.schema.fields if f.name not in ("doc_id", "text")]
@@ -463,4 +465,4 @@ def drop_repeated_bytes(docs: DataFrame, length: int = 200, **params) -> DataFra
         carried = block.table.column("carried").combine_chunks() if names else None
         return pa.table([block.table.column("doc_id"), pa.array(texts, pa.string()), *(carried.field(i) for i in range(len(names)))], ["doc_id", "text", *names])
 
-    return exchange(docs, dedup.sketch, dedup.sketch_merge, dedup.detail, dedup.detail_merge, finish, StructType(fields), carry=names).select(*docs.columns)
+    return exchange(docs, dedup.sketch, dedup.sketch_merge, dedup.detail, dedup.detail_merge, finish, StructType(fields), carry=names).select(*(F.col(c).cast(docs.schema[c].dataType) if c == "doc_id" else c for c in docs.columns))

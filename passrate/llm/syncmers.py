@@ -4,8 +4,10 @@ A k-byte string is an anchor when the smallest of its s-byte substrings, by
 hash, is its first or its last.  That depends on the k bytes alone, so a
 passage has the same anchors wherever it stands: an edit moves or changes only
 the anchors it touches.  A fingerprint holds, for each of `bins` classes of
-anchor hashes, 16 bits of the smallest: two fingerprints agree in a class about
-as often as their texts share anchors.
+anchor hashes, 16 bits of the smallest and its place in the text: two
+fingerprints agree in a class about as often as their texts share anchors.
+Matching is by position: of the classes that agree, those count that stand in
+the same order in both texts, the longest such chain.
 """
 
 from __future__ import annotations
@@ -19,10 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passrate.llm.common import CHUNK_BYTES, U64, RollingHash, byte_codes, checkpointed, mix64, sliding_min, spans_of_rows, utf8
+from passrate.llm.common import CHUNK_BYTES, U64, RollingHash, byte_codes, mix64, n_blocks, sliding_min, spans_of_rows, stored, utf8
 
 K, S, BINS = 16, 8, 64
+#: Bytes a step of an anchor's place: 16 bits reach 1 MB.
+PLACE_BYTES = 16
 _NONE = U64(0xFFFFFFFFFFFFFFFF)
+PARTITION_BYTES = 64 << 20
 
 
 def anchors(data: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
@@ -35,13 +40,15 @@ def anchors(data: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.nd
 
 
 def fingerprints(texts: list[bytes], k: int = K, s: int = S, bins: int = BINS) -> np.ndarray:
-    """One row of `bins` 16-bit values a text, 0 where it has no anchor of that class.
+    """For each text and class 16 bits of the smallest anchor hash and its place, 0 where there is no anchor of that class.
 
-    A text without anchors has itself as its only one, so equal texts, empty
-    ones too, have equal fingerprints.
+    Places count from 1 in steps of PLACE_BYTES; the last one, 65,535, is also
+    that of whatever lies beyond.  A text without anchors has itself as its
+    only one, so equal texts, empty ones too, have equal fingerprints.
     """
     n = len(texts)
     least = np.full(n * bins, _NONE, U64)
+    place = np.zeros(n * bins, np.int64)
     offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, n))))
     joined = np.frombuffer(b"".join(texts), np.uint8)
     for a, b in spans_of_rows(offsets):
@@ -51,21 +58,38 @@ def fingerprints(texts: list[bytes], k: int = K, s: int = S, bins: int = BINS) -
             at, h = anchors(joined[start:end], k, s)
             row = np.searchsorted(offsets[a + 1 : b + 1], at + start, side="right") + a
             inside = at + start + k <= offsets[row + 1] if len(at) else np.zeros(0, bool)
-            h, row = h[inside], row[inside]
-            np.minimum.at(least, row * bins + (h >> U64(40)).astype(np.int64) % bins, h)
-    least = least.reshape(n, bins)
+            at, h, row = at[inside] + start, h[inside], row[inside]
+            slot = row * bins + (h >> U64(40)).astype(np.int64) % bins
+            before = least[a * bins : b * bins].copy()
+            np.minimum.at(least, slot, h)
+            new = np.flatnonzero((h == least[slot]) & (h != before[slot - a * bins]))[::-1]  # the first of equal ones is set last
+            place[slot[new]] = at[new] - offsets[row[new]]
+    least, place = least.reshape(n, bins), place.reshape(n, bins)
     for row in np.flatnonzero((least == _NONE).all(axis=1)).tolist():
         h = xxhash.xxh3_64_intdigest(texts[row])
         least[row, h % bins] = h >> 1
-    out = (mix64(least) >> U64(48)).astype(np.uint16)
-    return np.where(least == _NONE, 0, np.maximum(out, 1)).astype(np.uint16)
+    values = np.maximum((mix64(least) >> U64(48)).astype(np.uint16), 1)
+    places = np.minimum(place // PLACE_BYTES + 1, 65535)
+    return np.where((least == _NONE)[:, :, None], 0, np.stack([values, places], axis=2)).astype(np.uint16)
 
 
 def likeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Share of the classes held by either in which both agree, from 0 to 1."""
-    either = ((x != 0) | (y != 0)).sum(axis=1)
-    same = ((x == y) & (x != 0)).sum(axis=1)
-    return same / np.maximum(either, 1)
+    """Of the classes held by either, the share in the longest chain of agreeing anchors whose order is the same in both, from 0 to 1."""
+    out = np.zeros(len(x))
+    for lo in range(0, len(x), 4096):
+        p, q = x[lo : lo + 4096].astype(np.int64), y[lo : lo + 4096].astype(np.int64)
+        same = (p[:, :, 0] == q[:, :, 0]) & (p[:, :, 0] != 0)
+        order = np.argsort(np.where(same, p[:, :, 1] << 16 | q[:, :, 1], 1 << 40), axis=1, kind="stable")
+        same, at = np.take_along_axis(same, order, axis=1), np.take_along_axis(q[:, :, 1], order, axis=1)
+        best = same.astype(np.int64)  # the longest chain that ends here
+        for i in range(1, same.shape[1]):
+            if not same[:, i].any():
+                break  # agreeing classes come first
+            before = np.where(same[:, :i] & (at[:, :i] <= at[:, i : i + 1]), best[:, :i], 0).max(axis=1)
+            best[:, i] += np.where(same[:, i], before, 0)
+        either = ((p[:, :, 0] != 0) | (q[:, :, 0] != 0)).sum(axis=1)
+        out[lo : lo + 4096] = best.max(axis=1) / np.maximum(either, 1)
+    return out
 
 
 def edited(text: str, following: str) -> str:
@@ -135,8 +159,9 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     partition, are joined with their neighbours afterwards.
     """
     order = [F.col("doc_id"), F.xxhash64("text"), F.col("text")]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*order[:2]).sortWithinPartitions(*order)
-    scanned = checkpointed(rows.mapInArrow(_scan, _DDL))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_blocks(docs, PARTITION_BYTES))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order)
+    scanned = stored(rows.mapInArrow(_scan, _DDL))
     parts = sorted(r["part"] for r in scanned.where(F.col("role") == _FIRST).select("part").collect())  # one small number a partition
     following = scanned.sparkSession.createDataFrame([(p, parts[(i + 1) % len(parts)]) for i, p in enumerate(parts)] or [], "part int, next int")
     last = scanned.where(F.col("role") == _LAST).select("doc_id", "text", "part").join(following, "part")

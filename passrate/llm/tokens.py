@@ -19,6 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from passrate.llm.common import by_batch
 
@@ -134,4 +135,4 @@ def token_counts(docs: DataFrame, json_name: str = "byte_bpe_50k.json", ranks_na
         tokens = np.asarray(n_tokens, np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(tokens), pa.array(tokens > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select("doc_id", "text").mapInArrow(by_batch(count), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(by_batch(count), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

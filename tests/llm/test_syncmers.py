@@ -69,6 +69,30 @@ def test_one_row_no_rows_and_repeats(checkpoints, spark):
     assert sorted((r["doc_id"], r["near_next"]) for r in run([(1, "same text"), (1, "same text"), (None, None)]) if r["doc_id"])[0] == (1, 0.0)
 
 
+def test_chains_are_by_position():
+    """A text whose halves are swapped shares its anchors but not their order; the longest chain against all subsets by brute force."""
+    rng = random.Random(5)
+    text = "".join(chr(rng.randrange(97, 123)) for _ in range(4000)).encode()
+    one, two, three = syncmers.fingerprints([text, text[2000:] + text[:2000], text[:2000] + b"inserted here" * 20 + text[2000:]])
+    like = lambda x, y: float(syncmers.likeness(x[None], y[None])[0])
+    assert like(one, one) == 1.0 and like(one, three) > 0.85 and 0.35 < like(one, two) < 0.7
+    for x, y in ((one, two), (one, three)):
+        pairs = sorted((int(a[1]), int(b[1])) for a, b in zip(x, y, strict=True) if a[0] == b[0] and a[0])
+        chain = [1] * len(pairs)
+        for i in range(len(pairs)):
+            chain[i] += max((chain[j] for j in range(i) if pairs[j][1] <= pairs[i][1]), default=0)
+        assert like(x, y) == max(chain) / int(((x[:, 0] != 0) | (y[:, 0] != 0)).sum())
+
+
+def test_places_are_the_anchors_own():
+    text = prose(random.Random(6), 300).encode()
+    at, h = syncmers.anchors(np.frombuffer(text, np.uint8))
+    (got,) = syncmers.fingerprints([text])
+    for k in range(syncmers.BINS):
+        mine = [(int(x), int(p)) for x, p in zip(h, at, strict=True) if (int(x) >> 40) % syncmers.BINS == k]
+        assert got[k, 1] == (min(mine)[1] // syncmers.PLACE_BYTES + 1 if mine else 0)
+
+
 def test_likeness_separates_halves_from_strangers():
     rng = random.Random(8)
     texts = ["".join(chr(rng.randrange(97, 123)) if rng.random() > 0.15 else " " for _ in range(3000)) for _ in range(12)]
