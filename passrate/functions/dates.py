@@ -50,16 +50,35 @@ _NAMED = ("MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyy
 _OTHER = ("yyyy/M/d", "yyyy.M.d")
 
 
-def date_formats(dayfirst: bool) -> list[str]:
+_TAILS = ("", r" \d{1,2}:\d{1,2}:\d{1,2}", r" \d{1,2}:\d{1,2}", r"T\d{1,2}:\d{1,2}:\d{1,2}")
+_SHAPES = (r"\d{1,2}-\d{1,2}-\d{4}", r"\d{1,2}/\d{1,2}/\d{4}", r"\d{1,2}\.\d{1,2}\.\d{4}")
+
+
+def date_formats(dayfirst: bool) -> list[tuple[str, tuple[str, ...]]]:
+    """Shapes of dates as patterns, and the formats a date of this shape can have, in order of preference."""
     first, second = (_DAY_FIRST, _MONTH_FIRST) if dayfirst else (_MONTH_FIRST, _DAY_FIRST)
-    return [d + t for d in (*first, *second, *_OTHER, *_NAMED) for t in _TIMES] + ["yyyyMMdd", "yyyyMMdd'T'HHmmss"]
+    shapes = list(zip(_SHAPES, zip(first, second, strict=True), strict=True))
+    return [*shapes, (r"\d{4}/\d{1,2}/\d{1,2}", _OTHER[:1]), (r"\d{4}\.\d{1,2}\.\d{1,2}", _OTHER[1:]), (r".*\p{L}{3}.*?\d{4}", _NAMED)]
+
+
+def _ladder(text: Column, dayfirst: bool) -> Column:
+    """By shape first, then by the shape of the time: a value is tried against the few formats it can have."""
+    parsed = lambda formats, time: F.coalesce(*(F.try_to_timestamp(text, F.lit(f + time)) for f in formats))
+    out = F.when(text.rlike(r"^\d{8}$"), parsed(("yyyyMMdd",), "")).when(text.rlike(r"^\d{8}T\d{6}$"), parsed(("yyyyMMdd",), "'T'HHmmss"))
+    for shape, formats in date_formats(dayfirst):
+        by_time = None
+        for tail, time in zip(_TAILS, _TIMES, strict=True):
+            condition = text.rlike(f"^{shape}{tail}$")
+            by_time = F.when(condition, parsed(formats, time)) if by_time is None else by_time.when(condition, parsed(formats, time))
+        out = out.when(text.rlike(f"^{shape}"), by_time)
+    return out
 
 
 def to_timestamp(column: Column, kind: T.DataType, dayfirst: bool = False) -> Column:
     """A column as UTC timestamps, in a session whose time zone is UTC; what is no date is null.
 
-    Strings go down a ladder: ISO 8601 by the JVM's cast, then the formats of
-    `date_formats` in order.  Month and day swap where only one order is a date.
+    Strings go down a ladder: ISO 8601 by the JVM's cast, then the formats that
+    `date_formats` has for the string's shape, in order.  Month and day swap where only one order is a date.
     """
     if isinstance(kind, T.TimestampType):
         return column
@@ -72,8 +91,7 @@ def to_timestamp(column: Column, kind: T.DataType, dayfirst: bool = False) -> Co
     if isinstance(kind, T.StringType):
         text = F.trim(column)
         iso = F.when(text.rlike(r"^\d{4}-\d{1,2}(-\d{1,2}.*)?$|^\d{4}$"), text.try_cast("timestamp"))
-        ladder = F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in date_formats(dayfirst)))
-        return F.coalesce(iso, F.when(text.rlike(r"\d"), ladder))
+        return F.coalesce(iso, F.when(text.rlike(r"\d"), _ladder(text, dayfirst)))
     return F.lit(None).cast("timestamp")
 
 

@@ -14,7 +14,7 @@ import re
 import tokenize
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 from typing import Any
 
 import pandas as pd
@@ -25,10 +25,10 @@ from pyspark.sql import types as T
 from passrate.errors import DQFunctionError
 from passrate.functions import nulls
 from passrate.functions.dates import to_utc_datetime
-from passrate.functions.patterns import matches
+from passrate.functions.patterns import matches, quoted, replacement, translate
 
 _TICKED = re.compile(r"`([^`]+)`")
-_STATISTICS = {"mean", "std", "var", "median", "quantile", "min", "max", "sum", "count", "nunique", "sem", "skew"}
+_STATISTICS = {"mean", "std", "var", "median", "quantile", "mode", "min", "max", "sum", "prod", "count", "nunique", "sem", "skew", "kurt"}
 _MATH = {
     "sin": F.sin, "cos": F.cos, "tan": F.tan, "exp": F.exp, "log": F.log, "expm1": F.expm1, "log1p": F.log1p, "sqrt": F.sqrt,
     "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh, "arcsin": F.asin, "arccos": F.acos, "arctan": F.atan, "arcsinh": F.asinh,
@@ -120,6 +120,8 @@ def statistics_in(expression: str) -> list[Statistic]:
     for node in ast.walk(tree):
         if isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and node.func.attr in _STATISTICS:
             owner = node.func.value
+            if isinstance(owner, ast.Attribute) and owner.attr == "str":
+                continue  # .str.count() is of each row's text
             if not isinstance(owner, ast.Name) or owner.id not in names:
                 raise DQFunctionError(f"{node.func.attr}() is for columns only, in {expression!r}")
             out.append(_statistic(node, names[owner.id]))
@@ -127,23 +129,41 @@ def statistics_in(expression: str) -> list[Statistic]:
 
 
 def _statistic(node: ast.Call, column: str) -> Statistic:
-    arguments = [ast.literal_eval(a) for a in node.args] + [ast.literal_eval(k.value) for k in node.keywords if k.arg == "q"]
+    given = arguments_of(node, ("q",) if node.func.attr == "quantile" else ())
     if node.func.attr == "quantile":
-        return Statistic("quantile", column, float(arguments[0]) if arguments else 0.5)
+        q = float(given.get("q", 0.5))
+        if not 0 <= q <= 1:
+            raise DQFunctionError(f"a quantile is from 0 to 1, in {ast.unparse(node)}")
+        return Statistic("quantile", column, q)
     return Statistic(node.func.attr, column)
 
 
+def arguments_of(node: ast.Call, names: tuple[str, ...], keywords: tuple[str, ...] = ()) -> dict[str, Any]:
+    """A call's constant arguments by name; `keywords` go by name only, and any other one is refused."""
+    if len(node.args) > len(names):
+        raise DQFunctionError(f"too many arguments in {ast.unparse(node)}")
+    out = {n: ast.literal_eval(a) for n, a in zip(names, node.args, strict=False)}
+    for k in node.keywords:
+        if k.arg not in names + keywords or k.arg in out:
+            raise DQFunctionError(f"{k.arg}= is no argument here, in {ast.unparse(node)}")
+        out[k.arg] = ast.literal_eval(k.value)
+    return out
+
+
 def statistic_column(statistic: Statistic, column: Column) -> Column:
     """The aggregate that computes it; nulls are left out."""
-    number = column.cast("double") if statistic.name in ("mean", "std", "var", "sem", "skew") else column
+    number = column.cast("double") if statistic.name in ("mean", "std", "var", "sem", "skew", "kurt", "prod") else column
     simple = {
         "mean": F.avg, "std": F.stddev_samp, "var": F.var_samp, "min": F.min, "max": F.max, "sum": F.sum, "count": F.count,
-        "nunique": F.count_distinct, "median": F.median, "skew": F.skewness,
+        "nunique": F.count_distinct, "prod": F.product,
     }
-    if statistic.name == "quantile":
-        return F.percentile(column, F.lit(statistic.argument))
+    n = F.count(number).cast("double")
     if statistic.name == "sem":
-        return F.stddev_samp(number) / F.sqrt(F.count(number))
+        return F.stddev_samp(number) / F.sqrt(n)
+    if statistic.name == "skew":  # corrected for bias; of equal values 0
+        return F.when(n >= 3, F.when(F.var_pop(number) == 0, F.lit(0.0)).otherwise(F.skewness(number) * F.sqrt(n * (n - 1)) / (n - 2)))
+    if statistic.name == "kurt":
+        return F.when(n >= 4, F.when(F.var_pop(number) == 0, F.lit(0.0)).otherwise((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(number) + 6)))
     return simple[statistic.name](number)
 
 
@@ -308,16 +328,29 @@ class Compiler:
         return F.when(F.abs(x) < 9e18, F.floor(x).cast("double")).otherwise(x)
 
     def visit_Subscript(self, node: ast.Subscript) -> Value:
+        owner = node.value.value if isinstance(node.value, ast.Attribute) and node.value.attr == "iloc" else node.value
+        if isinstance(owner, ast.Call) and self._method(owner) == ("", "mode"):
+            if ast.literal_eval(node.slice) != 0:
+                raise DQFunctionError("of the modes only the first is known, as .mode()[0]")
+            return self._whole(owner, "mode")
         if not (isinstance(node.value, ast.Attribute) and node.value.attr == "str"):
             raise DQFunctionError("subscripts are for .str only")
+        if isinstance(node.value.value, ast.Call) and self._method(node.value.value) == ("str", "split"):
+            if isinstance(node.slice, ast.Slice):
+                raise DQFunctionError("the parts of .str.split() have no slices here")
+            return self._part(node.value.value, ast.literal_eval(node.slice))
         text = self._text(node.value.value)
         if isinstance(node.slice, ast.Slice):
             bound = lambda n: None if n is None else ast.literal_eval(n)
             return Value("str", _slice(text, bound(node.slice.lower), bound(node.slice.upper)))
         at = ast.literal_eval(node.slice)
-        if isinstance(node.value.value, ast.Call) and self._method(node.value.value) == ("str", "split"):
-            parts = self._split(node.value.value)
-            return Value("str", F.try_element_at(parts, F.lit(at + 1 if at >= 0 else at)))
+        return self._character(text, at)
+
+    def _part(self, split: ast.Call, at: int) -> Value:
+        return Value("str", F.try_element_at(self._split(split), F.lit(at + 1 if at >= 0 else at)))
+
+    @staticmethod
+    def _character(text: Column, at: int) -> Value:
         one = _slice(text, at, at + 1 if at != -1 else None)
         return Value("str", F.when(F.length(one) > 0, one))
 
@@ -332,7 +365,7 @@ class Compiler:
 
     def _text(self, node: ast.AST) -> Column:
         if isinstance(node, ast.Call) and self._method(node) == ("str", "split"):
-            return F.lit(None).cast("string")
+            raise DQFunctionError("the parts of .str.split() are for .str[i], .str.get(), .str.len() and .str.join()")
         value = self.visit(node)
         if value.kind != "str":
             raise DQFunctionError(".str is for text")
@@ -340,17 +373,17 @@ class Compiler:
 
     def _split(self, node: ast.Call) -> Column:
         text = self._text(node.func.value.value)
-        arguments = self._arguments(node, ("pat",))
-        if (pat := arguments.get("pat")) is None:
-            return F.filter(F.split(F.trim(text), r"\s+"), lambda x: F.length(x) > 0)
-        return F.split(text, re.sub(r"([^A-Za-z0-9_\s])", r"\\\1", pat))
-
-    @staticmethod
-    def _arguments(node: ast.Call, names: tuple[str, ...]) -> dict[str, Any]:
-        if len(node.args) > len(names):
-            raise DQFunctionError(f"too many arguments in {ast.unparse(node)}")
-        out = {n: ast.literal_eval(a) for n, a in zip(names, node.args, strict=False)}
-        return out | {k.arg: ast.literal_eval(k.value) for k in node.keywords}
+        a = self._arguments(node, ("pat",), ("n", "expand", "regex"))
+        if a.get("expand"):
+            raise DQFunctionError("expand=True gives a table")
+        pat, limit = a.get("pat"), a["n"] + 1 if a.get("n", -1) > 0 else -1
+        if pat is None:
+            text = F.regexp_replace(text, r"^(?U)\s+" if limit > 0 else r"(?U)^\s+|\s+\z", "")
+            return F.when(text == "", F.array().cast("array<string>")).otherwise(F.filter(F.split(text, r"(?U)\s+", limit), lambda x: F.length(x) > 0))
+        as_regex = len(pat) > 1 if a.get("regex") is None else a["regex"]
+        return F.split(text, "(?dU)" + translate(pat) if as_regex else quoted(pat), limit)
+
+    _arguments = staticmethod(arguments_of)
 
     def visit_Attribute(self, node: ast.Attribute) -> Value:
         if isinstance(node.value, ast.Attribute) and node.value.attr == "dt":
@@ -394,16 +427,22 @@ class Compiler:
             if owner.kind == "ts" and name in ("day_name", "month_name"):
                 return Value("str", F.date_format(owner.get(), "EEEE" if name == "day_name" else "MMMM"))
             raise DQFunctionError(f".dt.{name}() is unknown here")
+        if name == "mode":
+            raise DQFunctionError("a column can have several modes; the first is .mode()[0]")
         if name in _STATISTICS and isinstance(node.func.value, ast.Name):
-            found = self.statistics.get(_statistic(node, self.names.get(node.func.value.id, "")))
-            kind = self.bound[self.names[node.func.value.id]][1]
-            if found is None:
-                return Value("num", F.lit(None).cast("double"), scalar=True)
-            if kind == "ts" and name in ("min", "max"):
-                return Value("ts", constant=to_utc_datetime(found), is_constant=True, scalar=True)
-            return Value("str" if isinstance(found, str) else "num" if isinstance(found, float) else "int", constant=found, is_constant=True, scalar=True)
+            return self._whole(node, name)
         return self._series(node, name)
 
+    def _whole(self, node: ast.Call, name: str) -> Value:
+        """A statistic, as the constant it was found to be."""
+        found = self.statistics.get(_statistic(node, self.names.get(node.func.value.id, "")))
+        kind = self.bound[self.names[node.func.value.id]][1]
+        if found is None:
+            return Value("num", F.lit(None).cast("double"), scalar=True)
+        if kind == "ts" and name in ("min", "max", "mode"):
+            return Value("ts", constant=to_utc_datetime(found), is_constant=True, scalar=True)
+        return Value("bool" if isinstance(found, bool) else "str" if isinstance(found, str) else "num" if isinstance(found, float) else "int", constant=found, is_constant=True, scalar=True)
+
     def _function(self, node: ast.Call) -> Value:
         name = node.func.id
         values = [self.visit(a) for a in node.args]
@@ -428,10 +467,17 @@ class Compiler:
         if name == "isin":
             return Value("bool", self._is_in(value, list(self._arguments(node, ("values",))["values"])))
         if name == "between":
-            low, high = (self.visit(a) for a in node.args[:2])
-            inclusive = next((ast.literal_eval(k.value) for k in node.keywords if k.arg == "inclusive"), "both")
+            given = dict(zip(("left", "right", "inclusive"), node.args, strict=False)) | {k.arg: k.value for k in node.keywords}
+            if set(given) - {"left", "right", "inclusive"} or len(node.args) > 3:
+                raise DQFunctionError(f"between() takes left, right and inclusive, not as in {ast.unparse(node)}")
+            low, high = self.visit(given["left"]), self.visit(given["right"])
+            inclusive = ast.literal_eval(given["inclusive"]) if "inclusive" in given else "both"
             ops = (ast.GtE() if inclusive in ("both", "left") else ast.Gt(), ast.LtE() if inclusive in ("both", "right") else ast.Lt())
             return Value("bool", self._compare(value, ops[0], low) & self._compare(value, ops[1], high))
+        if name in ("gt", "ge", "lt", "le", "eq", "ne", "fillna", "astype", "add", "sub", "mul", "div", "truediv", "floordiv", "mod", "pow") and (node.keywords or len(node.args) != 1):
+            raise DQFunctionError(f".{name}() takes one argument here, not as in {ast.unparse(node)}")
+        if name in ("isnull", "isna", "notnull", "notna", "abs"):
+            self._arguments(node, ())
         if name in ("gt", "ge", "lt", "le", "eq", "ne"):
             op = {"gt": ast.Gt, "ge": ast.GtE, "lt": ast.Lt, "le": ast.LtE, "eq": ast.Eq, "ne": ast.NotEq}[name]()
             return Value("bool", self._compare(value, op, self.visit(node.args[0])))
@@ -459,7 +505,9 @@ class Compiler:
         if name in ("add", "sub", "mul", "div", "truediv", "floordiv", "mod", "pow"):
             op = {"add": ast.Add, "sub": ast.Sub, "mul": ast.Mult, "div": ast.Div, "truediv": ast.Div, "floordiv": ast.FloorDiv, "mod": ast.Mod, "pow": ast.Pow}[name]()
             return self.visit_BinOp(ast.BinOp(node.func.value, op, node.args[0]))
-        if name in ("shift", "diff", "cumsum", "cumprod", "cummax", "cummin", "rank", "duplicated", "ffill", "bfill", "rolling", "expanding", "pct_change", "interpolate"):
+        if name in ("rank", "duplicated"):
+            raise DQFunctionError(f".{name}() compares every row with all others; a uniqueness rule counts repeated values")
+        if name in ("shift", "diff", "cumsum", "cumprod", "cummax", "cummin", "ffill", "bfill", "rolling", "expanding", "pct_change", "interpolate"):
             raise DQFunctionError(f".{name}() depends on the order of rows, which a distributed table has not")
         raise DQFunctionError(f".{name}() is no part of the expression language")
 
@@ -478,16 +526,26 @@ class Compiler:
         raise DQFunctionError(f"astype({wanted!r}) is unknown here")
 
     def _string(self, node: ast.Call, name: str) -> Value:
-        text = self._text(node.func.value.value)
+        owner = node.func.value.value
         get = lambda *names: self._arguments(node, names)
+        if isinstance(owner, ast.Call) and self._method(owner) == ("str", "split"):
+            if name == "len":
+                return Value("int", F.size(self._split(owner)))
+            if name == "get":
+                return self._part(owner, get("i")["i"])
+            if name == "join":
+                return Value("str", F.array_join(self._split(owner), get("sep")["sep"]))
+        text = self._text(owner)
+        if name == "get":
+            return self._character(text, get("i")["i"])
         if name in ("startswith", "endswith"):
-            a = get("pat")
+            a = get("pat", "na")
             wanted = a["pat"] if isinstance(a["pat"], tuple) else (a["pat"],)
             test = F.startswith if name == "startswith" else F.endswith
             return Value("bool", nulls.surely(reduce(lambda x, y: x | y, [test(text, F.lit(w)) for w in wanted])))
         if name in ("contains", "match", "fullmatch"):
             a = get("pat", "case", "flags", "na", "regex") if name == "contains" else get("pat", "case", "flags", "na")
-            ignore = a.get("case") is False or bool(a.get("flags", 0) & re.IGNORECASE)
+            ignore = a.get("case") is False or _ignores_case(a)
             if a.get("regex") is False:
                 found = F.contains(F.lower(text), F.lit(a["pat"].lower())) if ignore else F.contains(text, F.lit(a["pat"]))
             else:
@@ -496,14 +554,26 @@ class Compiler:
         if name == "len":
             return Value("int", F.length(text))
         if name == "count":
-            return Value("int", F.regexp_count(text, F.lit(get("pat")["pat"])))
+            a = get("pat", "flags")
+            return Value("int", F.regexp_count(text, F.lit(("(?dUi)" if _ignores_case(a) else "(?dU)") + translate(a["pat"]))))
+        if name == "find":
+            return Value("int", F.instr(text, get("sub")["sub"]) - 1)
+        if name == "repeat":
+            return Value("str", F.repeat(text, get("repeats")["repeats"]))
+        if name in ("removeprefix", "removesuffix"):
+            cut = get("prefix" if name == "removeprefix" else "suffix").popitem()[1]
+            shorter = F.length(text) - len(cut)
+            return Value("str", F.when(F.startswith(text, F.lit(cut)), F.substring(text, F.lit(len(cut) + 1), shorter)).otherwise(text) if name == "removeprefix" else F.when(F.endswith(text, F.lit(cut)), F.substring(text, F.lit(1), shorter)).otherwise(text))
         if name in ("lower", "casefold"):
             return Value("str", F.lower(text))
         if name == "upper":
             return Value("str", F.upper(text))
         if name in ("title", "capitalize"):
+            get()
+            first_up = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 30))
             whole = F.lower(text)
-            return Value("str", F.initcap(whole) if name == "title" else F.concat(F.upper(F.substring(whole, 1, 1)), F.substring(whole, 2, 1 << 30)))
+            runs = F.regexp_extract_all(whole, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+            return Value("str", F.array_join(F.transform(runs, first_up), "") if name == "title" else first_up(whole))
         if name in ("strip", "lstrip", "rstrip"):
             chars = get("to_strip").get("to_strip")
             members = r"\s" if chars is None else re.sub(r"([^A-Za-z0-9\s])", r"\\\1", chars)
@@ -515,9 +585,17 @@ class Compiler:
             return Value("str", out)
         if name == "replace":
             a = get("pat", "repl", "n", "case", "flags", "regex")
-            if a.get("regex"):
-                return Value("str", F.regexp_replace(text, a["pat"], re.sub(r"\\(\d)", r"$\1", a["repl"].replace("$", r"\$"))))
-            return Value("str", F.replace(text, F.lit(a["pat"]), F.lit(a["repl"])))
+            ignore, n = a.get("case") is False or _ignores_case(a), a.get("n", -1)
+            if not (a.get("regex") or ignore or n >= 0):
+                return Value("str", F.replace(text, F.lit(a["pat"]), F.lit(a["repl"])))
+            pattern = ("(?dUi)" if ignore else "(?dU)") + (translate(a["pat"]) if a.get("regex") else quoted(a["pat"]))
+            groups = bool(a.get("regex")) and "\\" in a["repl"]
+            if n < 0:
+                repl = replacement(a["repl"]) if a.get("regex") else a["repl"].replace("\\", r"\\").replace("$", r"\$")
+                return Value("str", F.regexp_replace(text, pattern, repl))
+            if groups:
+                raise DQFunctionError("n= and group references exclude each other here")
+            return Value("str", text if n == 0 else F.array_join(F.split(text, pattern, n + 1), a["repl"]))
         if name == "slice":
             a = get("start", "stop")
             return Value("str", _slice(text, a.get("start"), a.get("stop")))
@@ -525,16 +603,42 @@ class Compiler:
             a = get("width", "fillchar")
             fill = "0" if name == "zfill" else a.get("fillchar", " ")
             padded = (F.rpad if name == "ljust" else F.lpad)(text, a["width"], fill)
+            if name == "zfill":  # a sign stays in front
+                signed = F.concat(F.substring(text, 1, 1), F.lpad(F.substring(text, 2, 1 << 30), max(0, a["width"] - 1), fill))
+                padded = F.when(text.rlike(r"\A[+-]"), signed).otherwise(padded)
             return Value("str", F.when(F.length(text) >= a["width"], text).otherwise(padded))
         tests = {
-            "isdigit": r"\A\p{Nd}+\z", "isnumeric": r"\A\p{N}+\z", "isdecimal": r"\A\p{Nd}+\z", "isalpha": r"\A\p{L}+\z", "isalnum": r"\A[\p{L}\p{N}]+\z", "isspace": r"(?U)\A\s+\z",
+            "isdecimal": r"\A\p{Nd}+\z", "isalpha": r"\A\p{L}+\z", "isspace": r"(?U)\A\s+\z",
             "isupper": r"\A(?=.*\p{Lu})[^\p{Ll}]*\z", "islower": r"\A(?=.*\p{Ll})[^\p{Lu}]*\z", "istitle": r"\A[^\p{L}]*(?:\p{Lu}\p{Ll}*(?:[^\p{L}]+|\z))+\z",
         }
+        if name in ("isdigit", "isnumeric", "isalnum"):
+            get()
+            return Value("bool", nulls.surely(text.rlike(rf"\A[{_class_of(name)}]+\z")))
         if name in tests:
+            get()
             return Value("bool", nulls.surely(text.rlike("(?s)" + tests[name])))
         raise DQFunctionError(f".str.{name}() is unknown here")
 
 
+@lru_cache
+def _class_of(test: str) -> str:
+    """The ranges of characters for which Python's test holds, as a class of the JVM's patterns."""
+    holds = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and getattr(chr(c), test)()]
+    out, start = [], 0
+    for i in range(1, len(holds) + 1):
+        if i == len(holds) or holds[i] != holds[i - 1] + 1:
+            out.append(rf"\x{{{holds[start]:x}}}-\x{{{holds[i - 1]:x}}}")
+            start = i
+    return "".join(out)
+
+
+def _ignores_case(arguments: dict[str, Any]) -> bool:
+    flags = arguments.get("flags", 0)
+    if flags & ~re.IGNORECASE:
+        raise DQFunctionError(f"of the flags only {int(re.IGNORECASE)}, for any case, is known; others stand in the pattern")
+    return bool(flags)
+
+
 def _no_nan(column: Column) -> Column:
     return F.when(~F.isnan(column), column)
 

@@ -94,6 +94,18 @@ def _group(name: str) -> str:
     return safe if safe[0].isalpha() else f"g{safe}"
 
 
+def quoted(text: str) -> str:
+    """A JVM pattern for the text itself."""
+    return re.sub(r"([^A-Za-z0-9_\s])", r"\\\1", text)
+
+
+def replacement(template: str) -> str:
+    """Python's replacement template as the JVM's: groups by number or name."""
+    out = template.replace("$", r"\$")
+    out = re.sub(r"\\g<(\w+)>", lambda m: f"${m[1]}" if m[1].isdigit() else "${" + _group(m[1]) + "}", out)
+    return re.sub(r"\\(\d)", r"$\1", out)
+
+
 def _jvm_accepts(pattern: str) -> bool:
     from pyspark.sql import SparkSession
 

@@ -108,9 +108,9 @@ def compile_rule(rule: R.BaseRule, bound: dict[str, Bound], statistics: dict[exp
 
 
 def statistic_columns(rule: R.BaseRule, bound: dict[str, Bound]) -> dict[expressions.Statistic, Column]:
-    """The aggregates that a rule's expressions need, over all rows, markers made null."""
+    """The column of each statistic that a rule's expressions need, markers made null."""
     if not isinstance(rule, R.ConsistencyRule):
         return {}
     columns = prepared(rule, bound)
     wanted = [s for part in rule.parts() if part is not None for s in expressions.statistics_in(part)]
-    return {s: expressions.statistic_column(s, columns[s.column][1]) for s in wanted}
+    return {s: columns[s.column][1] for s in wanted}

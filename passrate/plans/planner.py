@@ -26,6 +26,7 @@ from passrate import rules as R
 from passrate.operators import paths
 from passrate.operators.masks import Bound, Masks, compile_rule, statistic_columns
 from passrate.options import SampleConfig
+from passrate.plans import statistics
 
 #: Aggregates in one select: keeps generated code within the JVM's method size.
 CHUNK = 90
@@ -69,10 +70,7 @@ class Branch:
         wanted = {}
         for _, rule in self.rules:
             wanted |= statistic_columns(rule, self.bound)
-        found = {}
-        if wanted:
-            row = self.flat.agg(*(c.alias(f"s{i}") for i, c in enumerate(wanted.values()))).first()
-            found = {s: float(v) if isinstance(v, Decimal) else v for s, v in zip(wanted, row, strict=True)}
+        found = statistics.compute(self.flat, wanted) if wanted else {}
         self.masks = {i: compile_rule(rule, self.bound, found) for i, rule in self.rules}
 
     def counters(self) -> dict[tuple[int, str], Column]:
