@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passrate import rules as R
-from passrate.functions import coerce, nulls
 from passrate.operators import paths
-from passrate.plans.planner import counts_frame, utc_session
+from passrate.plans.planner import counts_frame
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,21 +89,6 @@ def _flat(*wanted: str, shape: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: shape(paths.flatten(_nested(spark, sf_dir), list(wanted)))
 
 
-def _failed_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    failed = _table(spark, sf_dir, "orders").where(~nulls.surely(F.col("o_totalprice") >= 2000))
-    return failed.select("o_totalprice", "o_orderstatus").distinct().orderBy("o_totalprice", "o_orderstatus").limit(10)
-
-
-def _duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("l_orderkey").orderBy("l_orderkey").limit(10)
-
-
-def _lost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with utc_session(spark):
-        df = _texts(spark, sf_dir)
-        return df.agg(F.count_if(F.col("level").isNotNull() & coerce.to_number(F.col("level"), df.schema["level"].dataType).isNull()).alias("lost"))
-
-
 _TOTAL_SQL = "SELECT count(*) AS n, count({0}) AS n_values, count(DISTINCT {0}) AS n_distinct FROM {1}"
 
 
@@ -142,7 +126,6 @@ _ALL: dict[str, tuple[Query, str]] = {
     "uniqueness_key": (_counted("orders", R.UniquenessRule(field="o_orderkey")), _unique_sql("o_orderkey", "orders", "o_orderkey")),
     "uniqueness_fk": (_counted("orders", R.UniquenessRule(field="o_custkey")), _unique_sql("o_custkey", "orders", "o_custkey")),
     "uniqueness_na_values": (_counted("part", R.UniquenessRule(field="p_size", na_values=[1, 2])), _unique_sql("p_size", "(SELECT CASE WHEN p_size > 2 THEN p_size END AS p_size FROM part)", "p_size")),
-    "uniqueness_failed_sample": (_duplicates, "SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1 ORDER BY 1 LIMIT 10"),
     "accuracy_list": (_counted("orders", R.AccuracyRule(field="o_orderpriority", valid_values=["1-URGENT", "2-HIGH"])), _sql("o_orderpriority", "orders", "o_orderpriority IN ('1-URGENT', '2-HIGH')")),
     "accuracy_inverse": (_counted("orders", R.AccuracyRule(field="o_orderpriority", valid_values=["1-URGENT", "2-HIGH"], inverse=True)), _sql("o_orderpriority", "orders", "o_orderpriority NOT IN ('1-URGENT', '2-HIGH')")),
     "accuracy_na": (_counted("orders", R.AccuracyRule(field="o_orderpriority", valid_values=["1-URGENT", "2-HIGH"], na_values=["5-LOW"])), _sql("o_orderpriority", "orders", "o_orderpriority IN ('1-URGENT', '2-HIGH')", "o_orderpriority <> '5-LOW'")),
@@ -202,8 +185,6 @@ _ALL: dict[str, tuple[Query, str]] = {
     "nested_if_then": (_counted(_nested, _C(field="lines[*].l_quantity", expression={"if": "`about.o_orderstatus` == 'F'", "then": "`lines[*].l_quantity` > 20"})), _sql("lines[*].l_quantity", _NESTED_SQL, "l_quantity > 20", "o_orderstatus = 'F'")),
     "nested_uniqueness": (_counted(_nested, R.UniquenessRule(field="lines[*].l_partkey")), _unique_sql("lines[*].l_partkey", _NESTED_SQL, "l_partkey")),
     "array_elements": (_counted("embeddings", R.ValidityNumericalRangeRule(field="embedding[*]", min_value=0)), _sql("embedding[*]", "(SELECT unnest(embedding) AS e FROM embeddings)", "e >= 0")),
-    "failed_sample_topn": (_failed_sample, "SELECT DISTINCT o_totalprice, o_orderstatus FROM orders WHERE NOT o_totalprice >= 2000 ORDER BY 1, 2 LIMIT 10"),
-    "coercion_loss": (_lost, f"SELECT count(*) FILTER (WHERE level IS NOT NULL AND TRY_CAST(trim(level) AS DOUBLE) IS NULL) AS lost FROM {_TEXTS_SQL}"),
     "config_fused_report": (_counted("orders", *_REPORT_RULES), _REPORT_SQL),
 }
 
@@ -223,9 +204,15 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.unionByName(nested)
 
 
+def _every() -> dict[str, tuple[Query, str]]:
+    from passrate.plans.report_queries import ALL
+
+    return _ALL | ALL
+
+
 def queries() -> dict[str, Query]:
-    return {name: query for name, (query, _) in _ALL.items()}
+    return {name: query for name, (query, _) in _every().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _ALL.items()}
+    return {name: sql for name, (_, sql) in _every().items()}
