@@ -87,10 +87,10 @@ def with_fingerprints(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).mapInArrow(by_batch(run), ", ".join(f"{c} long" for c in ["doc_id", "fp", *more]))
 
 
-def close_pairs(values: np.ndarray, ends: np.ndarray, radius: int, width: int = 64):
+def close_pairs(values: np.ndarray, ends: np.ndarray, radius: int, width: int = 64, slices: int = 1 << 18):
     """Index pairs i < j < ends[i] of values within `radius` bits, by bit-sliced blocks of 64.
 
-    Yields arrays of pairs; the work is bounded a slice of queries at a time.
+    Yields arrays of pairs; `slices` bounds the queries times blocks at a time.
     """
     n = len(values)
     blocks = -(-n // 64)
@@ -102,7 +102,7 @@ def close_pairs(values: np.ndarray, ends: np.ndarray, radius: int, width: int =
     first, last = (query + 1) // 64, (ends[query] - 1) // 64
     counts = last - first + 1
     full = ~U64(0)
-    cut = np.searchsorted(np.cumsum(counts), np.arange(1 << 18, counts.sum() + (1 << 18), 1 << 18)) if len(query) else []
+    cut = np.searchsorted(np.cumsum(counts), np.arange(slices, counts.sum() + slices, slices)) if len(query) else []
     begin = 0
     for stop in (min(int(c) + 1, len(query)) for c in cut):
         if stop <= begin:

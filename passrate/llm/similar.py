@@ -13,8 +13,9 @@ In a first round the nodes of a band key are compared with a centre only, a
 key's nodes being dealt to `SALTS` centres that are compared with one centre in
 turn, so a group of copies costs as many comparisons as it has nodes.  Where a
 key's nodes are not all in one component then, they meet in a second round, 64
-at a time as bit planes (`simhash.close_pairs`), and only pairs within the
-radius whose components differ leave it.  A crowded key is dealt to pairs of
+at a time as bit planes (`simhash.close_pairs`), with their sets.  A pair within
+the radius is checked there while its components are not joined, so what leaves
+is a forest of links, never a group's pairs.  A crowded key is dealt to pairs of
 its parts.  No candidate is left out but those whose components are joined
 already.
 """
@@ -27,11 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passrate.llm.common import U64, by_batch, checkpointed, mix64, stored, utf8
+from passrate.llm.common import U64, by_batch, mix64, stored, utf8
 from passrate.llm.simhash import close_pairs, components, grouped_rows, majority, one_a_component, row_keys, shingle_hashes
 
 BANDS, ROWS, SALTS = 24, 5, 64
-RADIUS, CROWD = 24, 1 << 15
+RADIUS = 24
+#: Nodes, and shingle hashes, of one part of a crowded key; two parts meet in a task.
+CROWD, MOST_HASHES = 1 << 15, 1 << 23
 _FACTORS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * U64(2) + U64(1)
 
 
@@ -117,22 +120,63 @@ def _pair(a, b) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _close(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of nodes with a common key that differ in root and are within the radius; `rows` has key, node, n, fp, root."""
-    parts = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(CROWD)).cast("int").alias("parts"))
+def _close(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) of nodes with a common key, enough to join the roots that have one; `rows` has key, node, n, fp, root."""
+    parts = rows.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(CROWD), F.sum("n") / F.lit(MOST_HASHES))).cast("int").alias("parts"))
     dealt = rows.join(parts, "key").withColumn("part", F.pmod(F.hash("node"), F.col("parts")))
     meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, F.col("part")).alias("i"), F.greatest(j, F.col("part")).alias("j")))
-    dealt = dealt.select("key", F.explode(meets).alias("meet"), "node", "n", "fp", "root").select("key", "meet.i", "meet.j", "node", "n", "fp", "root")
+    dealt = dealt.select("key", F.explode(meets).alias("meet"), "node", "n", "fp", "root").select("key", "meet.i", "meet.j", "node", "n", "fp", "root").join(sets, "node")
 
-    def linked(rows: pa.Table, ends: np.ndarray):
+    def work(rows: pa.Table, ends: np.ndarray):
         node, n, fp, root = (rows.column(c).to_numpy() for c in ("node", "n", "fp", "root"))
-        for a, b in close_pairs(fp.view(U64), ends, RADIUS):
-            good = (root[a] != root[b]) & (node[a] != node[b]) & (np.minimum(n[a], n[b]) >= np.maximum(n[a], n[b]) * (threshold - 1e-9))
-            if good.any():
-                x, y = node[a[good]], node[b[good]]
+        hashes = rows.column("hashes").combine_chunks()
+        joined = _Joined(np.unique(root, return_inverse=True)[1])
+        for a, b in close_pairs(fp.view(U64), ends, RADIUS, slices=1 << 14):
+            good = np.minimum(n[a], n[b]) >= np.maximum(n[a], n[b]) * (threshold - 1e-9)
+            found = joined.links(a[good], b[good], lambda x, y: similarity(np.frombuffer(hashes[x].as_py(), U64), np.frombuffer(hashes[y].as_py(), U64)) >= threshold)
+            if found:
+                x, y = (node[np.array(k)] for k in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(grouped_rows(("key", "i", "j"), linked), "a long, b long").distinct()
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(grouped_rows(("key", "i", "j"), work, at_once=1 << 14), "a long, b long").distinct()
+
+
+class _Joined:
+    """What is joined so far of a task's components: a pair is checked only while its two are not."""
+
+    def __init__(self, component: np.ndarray):
+        self.component = component
+        self.top = np.arange(int(component.max()) + 1)
+
+    def links(self, a: np.ndarray, b: np.ndarray, linked) -> list[tuple[int, int]]:
+        """The pairs that link, of those that join two components; of each two 1 pair is checked, then 2, 4 and so on."""
+        out, take, k = [], 1, len(self.top)
+        while True:
+            while (self.top[self.top] != self.top).any():
+                self.top = self.top[self.top]
+            x, y = self.top[self.component[a]], self.top[self.component[b]]
+            apart = np.flatnonzero(x != y)
+            if not len(apart):
+                return out
+            a, b, code = a[apart], b[apart], np.minimum(x, y)[apart] * k + np.maximum(x, y)[apart]
+            order = np.argsort(code, kind="stable")
+            first = np.flatnonzero(np.diff(code[order], prepend=-1))
+            rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+            chosen = order[rank < take]
+            for p in chosen.tolist():
+                i, j = int(a[p]), int(b[p])
+                x, y = self._find(self.component[i]), self._find(self.component[j])
+                if x != y and linked(i, j):
+                    self.top[max(x, y)] = min(x, y)
+                    out.append((i, j))
+            left = np.ones(len(a), bool)
+            left[chosen] = False
+            a, b, take = a[left], b[left], 2 * take
+
+    def _find(self, x: int) -> int:
+        while self.top[x] != x:
+            x = self.top[x]
+        return int(x)
 
 
 def linked(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -143,21 +187,20 @@ def linked(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame
     member = F.struct("node", "n", "fp")
     near = keyed.groupBy("key", "salt").agg(F.min(member).alias("near"), F.count(F.lit(1)).alias("many"))
     far = near.groupBy("key").agg(F.min("near").alias("far"), F.sum("many").alias("all")).where(F.col("all") > 1)
-    centres = checkpointed(near.join(far, "key"))  # of the keys that nodes share
-    keyed = checkpointed(keyed.join(centres.select("key", "salt", "near"), ["key", "salt"]))
+    centres = stored(near.join(far, "key"))  # of the keys that nodes share
+    keyed = stored(keyed.join(centres.select("key", "salt", "near"), ["key", "salt"]))
     stars = keyed.select("node", F.col("near.node").alias("other"), "n", F.col("near.n").alias("m"), "fp", F.col("near.fp").alias("its_fp"))
     stars = stars.unionByName(centres.select(F.col("near.node").alias("node"), F.col("far.node").alias("other"), F.col("near.n").alias("n"), F.col("far.n").alias("m"), F.col("near.fp").alias("fp"), F.col("far.fp").alias("its_fp")))
-    stars = checkpointed(stars.where(F.col("node") != F.col("other")).where(_alike(threshold)).select(*_pair("node", "other")).distinct())
+    stars = stored(stars.where(F.col("node") != F.col("other")).where(_alike(threshold)).select(*_pair("node", "other")).distinct())
     shared = keyed.select("node").distinct().join(nodes.select("node", "k.k1", "k.k2"), "node")
     sets = stored(_sets_of(docs, shared, words))
-    edges = checkpointed(_checked(stars, sets, threshold))
+    edges = stored(_checked(stars, sets, threshold))
     roots = components(edges)
 
     known = keyed.join(roots, "node", "left").select("key", "node", "n", "fp", F.coalesce("root", "node").alias("root"))
     mixed = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    open_ = checkpointed(known.join(mixed, "key", "left_semi"))
-    rest = checkpointed(_close(open_, threshold).join(stars, ["a", "b"], "left_anti"))
-    more = checkpointed(_checked(rest, sets, threshold))
+    open_ = stored(known.join(mixed, "key", "left_semi"))
+    more = stored(_close(open_, sets, threshold))
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 

@@ -56,5 +56,19 @@ def test_stage_against_all_pairs(checkpoints, spark):
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == kept_by_hand(rows)
 
 
+def test_crowded_keys_are_dealt_to_pairs_of_parts(checkpoints, spark, monkeypatch):
+    monkeypatch.setattr(similar, "CROWD", 3)
+    monkeypatch.setattr(similar, "SALTS", 1)
+    rows = rows_with_near_copies()
+    base = [f"w{i}" for i in range(200)]
+    rng = random.Random(2)
+    for k in range(60):  # a chain of edits: neighbours link, the ends do not
+        for _ in range(3):
+            base[rng.randrange(200)] = f"new{k}"
+        rows.append((5000 + k, " ".join(base)))
+    got = similar.keep_one(table_of(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == kept_by_hand(rows)
+
+
 def test_no_rows(checkpoints, spark):
     assert similar.keep_one(table_of(spark, [])).collect() == []
