@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passrate.llm.common import n_blocks, utf8
+from passrate.llm.common import give_back, n_blocks, utf8
 
 #: Blocks that one task may be dealt on average; beyond it there are more tasks than spark.sql.shuffle.partitions.
 BLOCKS_PER_TASK = 8
@@ -54,6 +54,7 @@ def messages(items: Iterable[Message]) -> pa.Table:
         blocks.append(block)
         kinds.append(kind)
         data.append(blob)
+    give_back()
     return pa.table([pa.array(buckets, pa.int64()), pa.array(blocks, pa.int64()), pa.array(kinds, pa.int32()), pa.array(data, pa.binary())], schema=_SCHEMA)
 
 
@@ -96,7 +97,9 @@ def exchange(
         return messages(detail(Block(rows), answers, n) if rows.num_rows else ())
 
     def last(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        return finish(Block(rows), answers, n)
+        done = finish(Block(rows), answers, n)
+        give_back()
+        return done
 
     by = lambda df, key: df.repartition(parts, key).groupBy(key)
     answers = by(texts.groupBy("block").applyInArrow(first, MESSAGE), "bucket").applyInArrow(lambda t: messages(sketch_merge(t)), MESSAGE)

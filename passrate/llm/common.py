@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
@@ -192,6 +193,16 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Hand freed memory to the system: the Python worker of a task is kept for the next ones, and with it whatever its allocators hold."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def by_batch(rows: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]):
     """A mapInArrow function from one that handles a batch; empty batches are passed over."""
 
@@ -199,5 +210,6 @@ def by_batch(rows: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]):
         for batch in batches:
             if batch.num_rows:
                 yield from rows(batch)
+                give_back()
 
     return run

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passrate.llm.common import CHUNK_BYTES, U64, RollingHash, by_batch, byte_codes, spans_of_rows, utf8
+from passrate.llm.common import CHUNK_BYTES, U64, RollingHash, by_batch, byte_codes, give_back, spans_of_rows, utf8
 from passrate.llm.tokens import byte_bpe, tokenizer_path
 
 DIMENSIONS, BITS, TIE_BITS, FEATURES, GRAM = 3, 15, 18, 256, 4
@@ -192,6 +192,7 @@ def packed(docs: DataFrame, length: int = 1024, end_id: int = 0, json_name: str
         cutter.finish()
         if cutter.rows:
             yield cutter.flush(keep_ids)
+        give_back()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * keep_ids
     return along_curve(docs).mapInArrow(run, schema)

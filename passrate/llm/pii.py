@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passrate.llm.common import CHUNK_BYTES, by_batch, spans_of_rows, stored, unused, utf8
+from passrate.llm.common import CHUNK_BYTES, by_batch, give_back, spans_of_rows, stored, unused, utf8
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -239,6 +239,8 @@ def _found(docs: DataFrame, bits: bytes) -> DataFrame:
                     counted.clear()
         if counted:
             yield vocabulary()
+        counted.clear()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(find, _FOUND)
 

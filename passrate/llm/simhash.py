@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passrate.llm.common import U64, by_batch, checkpointed, spans_of_rows, stored, utf8
+from passrate.llm.common import U64, by_batch, checkpointed, give_back, spans_of_rows, stored, utf8
 
 SEED = 42
 
@@ -250,9 +250,12 @@ def grouped_rows(by: tuple[str, ...], work, at_once: int = 1 << 18):
                 cut = int(other[-1]) + 1 if len(other) else 0
                 if cut:
                     yield from whole(rows.slice(0, cut))
+                    give_back()
                 held, size = [rows.slice(cut)], rows.num_rows - cut
         if size:
             yield from whole(pa.concat_tables(held))
+        held.clear()
+        give_back()
 
     return run
 

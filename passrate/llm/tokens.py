@@ -14,7 +14,7 @@ none, it is widened until it does or the rest of the text is in one chunk.
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +43,7 @@ class ByteBpe:
     def __init__(self, json_path: str, ranks_path: str | None = None):
         import json
 
-        from tokenizers import Tokenizer
-
-        self.exact = Tokenizer.from_file(json_path)
+        self.json_path = json_path
         with open(json_path, encoding="utf-8") as file:
             spec = json.load(file)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
@@ -61,6 +59,13 @@ class ByteBpe:
             for token, rank in ranks.items():
                 self.lengths[rank] = len(token)
 
+    @cached_property
+    def exact(self):
+        """The library's own tokenizer, loaded when the first text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.json_path)
+
     def once(self, text: str) -> list[int]:
         if self.fast is None or any(s in text for s in self.special):
             return self.exact.encode(text, add_special_tokens=False).ids
