@@ -22,6 +22,7 @@ import hashlib
 import re
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ from passrate.llm.tokens import tokenizer_path
 BLANK = "▁"
 _UNKNOWN_PENALTY = 10.0
 _CACHED_UNITS, _CACHED_CHARS, _CACHED_PAIRS = 200_000, 48, 1_000_000
+_UNITS_AT_ONCE = 1 << 15
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -100,7 +102,8 @@ class PieceModel:
         self.automaton.make_automaton()
         self.unknown_score = lowest - _UNKNOWN_PENALTY
         self.unit = re.compile(".+" if crosses else f"{BLANK}*[^{BLANK}]+|{BLANK}+", re.DOTALL)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, tuple[int, ...]] = {}  # the units met last, and in `before` those before them
+        self.before: dict[str, tuple[int, ...]] = {}
 
     def merged(self, text: str) -> list[str]:
         """BPE by its definition, for short strings: the best-scored neighbours merge, the leftmost first."""
@@ -191,17 +194,20 @@ class PieceModel:
         if not text:
             return []
         out: list[int] = []
-        cache = self.cache
         segment = self.by_merges if self.bpe else self.best
-        for unit in self.unit.findall(BLANK + text.replace(" ", BLANK)):
-            ids = cache.get(unit)
-            if ids is None:
-                ids = segment(unit)
-                if len(unit) <= _CACHED_CHARS:
-                    if len(cache) >= _CACHED_UNITS:
-                        cache.clear()
-                    cache[unit] = ids
-            out += ids
+        units = self.unit.findall(BLANK + text.replace(" ", BLANK))
+        for at in range(0, len(units), _UNITS_AT_ONCE):
+            some = units[at : at + _UNITS_AT_ONCE]
+            if len(self.cache) >= _CACHED_UNITS:  # what is met again soon comes over from the cache before
+                self.before, self.cache = self.cache, {}
+            cache, before, long = self.cache, self.before, []
+            for unit in set(some).difference(cache):
+                cache[unit] = before.get(unit) or segment(unit)
+                if len(unit) > _CACHED_CHARS:
+                    long.append(unit)
+            out += chain.from_iterable(map(cache.__getitem__, some))
+            for unit in long:
+                del cache[unit]
         return out
 
     def decode(self, ids) -> str:

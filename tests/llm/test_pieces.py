@@ -33,6 +33,17 @@ def test_ids_and_decoding_are_the_librarys(library):
         assert model.decode(ids) == library.decode(ids), text
 
 
+def test_small_caches_and_slices_change_nothing(library, monkeypatch):
+    monkeypatch.setattr(pieces, "_CACHED_UNITS", 5)
+    monkeypatch.setattr(pieces, "_CACHED_CHARS", 6)
+    monkeypatch.setattr(pieces, "_UNITS_AT_ONCE", 3)
+    model, rng = pieces.PieceModel(tokenizer_path("piece_bpe_32k.model")), random.Random(4)
+    for text in [prose(rng, 60) for _ in range(20)] + ["abcdefghij " * 9, "a"]:
+        assert model.encode(text) == library.encode(text)
+        assert len(model.cache) <= 5 + 3 and len(model.before) <= 5 + 3
+        assert all(len(unit) <= 6 for unit in model.cache)
+
+
 def test_one_pass_viterbi_finds_the_best_sum():
     """A small unigram model made by hand: the automaton's segmentation has the score of an exhaustive search."""
     import ahocorasick
