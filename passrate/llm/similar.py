@@ -16,8 +16,8 @@ key's nodes are not all in one component then, they meet in a second round, 64
 at a time as bit planes (`simhash.close_pairs`), with their sets.  A pair within
 the radius is checked there while its components are not joined, so what leaves
 is a forest of links, never a group's pairs.  A crowded key is dealt to pairs of
-its parts.  No candidate is left out but those whose components are joined
-already.
+its parts; what is known of a key goes to its nodes by the shares of its salts.
+No candidate is left out but those whose components are joined already.
 """
 
 from __future__ import annotations
@@ -121,9 +121,8 @@ def _pair(a, b) -> list:
 
 
 def _close(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) of nodes with a common key, enough to join the roots that have one; `rows` has key, node, n, fp, root."""
-    parts = rows.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(CROWD), F.sum("n") / F.lit(MOST_HASHES))).cast("int").alias("parts"))
-    dealt = rows.join(parts, "key").withColumn("part", F.pmod(F.hash("node"), F.col("parts")))
+    """Links (a, b) of nodes with a common key, enough to join the roots that have one; `rows` has key, node, n, fp, root, parts."""
+    dealt = rows.withColumn("part", F.pmod(F.hash("node"), F.col("parts")))
     meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, F.col("part")).alias("i"), F.greatest(j, F.col("part")).alias("j")))
     dealt = dealt.select("key", F.explode(meets).alias("meet"), "node", "n", "fp", "root").select("key", "meet.i", "meet.j", "node", "n", "fp", "root").join(sets, "node")
 
@@ -197,9 +196,11 @@ def linked(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame
     edges = stored(_checked(stars, sets, threshold))
     roots = components(edges)
 
-    known = keyed.join(roots, "node", "left").select("key", "node", "n", "fp", F.coalesce("root", "node").alias("root"))
-    mixed = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    open_ = stored(known.join(mixed, "key", "left_semi"))
+    known = keyed.join(roots, "node", "left").select("key", "salt", "node", "n", "fp", F.coalesce("root", "node").alias("root"))
+    shares = known.groupBy("key", "salt").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("many"), F.sum("n").alias("hashes"))
+    whole = shares.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("many").alias("many"), F.sum("hashes").alias("hashes")).where("low <> high")
+    parts = whole.select("key", F.ceil(F.greatest(F.col("many") / F.lit(CROWD), F.col("hashes") / F.lit(MOST_HASHES))).cast("int").alias("parts"))
+    open_ = stored(known.join(shares.select("key", "salt").join(parts, "key"), ["key", "salt"]).drop("salt"))
     more = stored(_close(open_, sets, threshold))
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
