@@ -245,6 +245,10 @@ def _found(docs: DataFrame, bits: bytes) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(find, _FOUND)
 
 
+#: The texts of a term, and the copies of a text, are dealt to so many joins.
+_SALTS = 8
+
+
 def _measured(docs: DataFrame, context_words: int = 8, support: int = 3, generalise_at: float = 0.8, remove_at: float = 0.95) -> tuple[DataFrame, DataFrame]:
     """The rows of `_found`, and per text that mentions an entity with telling terms: text_key, told (term -> whether it is removed)."""
     near = stored(_near(docs, context_words))
@@ -262,7 +266,9 @@ def _measured(docs: DataFrame, context_words: int = 8, support: int = 3, general
         .select("e", "t", told.alias("told")).where(F.col("told") >= generalise_at)
     )
     held = found.where(F.size("words") > 0).groupBy("text_key").agg(F.first("entities").alias("entities"), F.first(F.array_distinct(F.transform("words", lambda w: w["t"]))).alias("ts"))
-    met = held.select("text_key", "entities", F.explode("ts").alias("t")).join(telling, "t").where(F.array_contains("entities", F.col("e")))
+    telling = telling.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))  # a telling term may be in a third of all texts
+    met = held.select("text_key", "entities", F.explode("ts").alias("t")).withColumn("salt", F.pmod(F.hash("text_key"), F.lit(_SALTS)))
+    met = met.join(telling, ["t", "salt"]).where(F.array_contains("entities", F.col("e")))
     told_of = met.groupBy("text_key", "t").agg(F.max("told").alias("told")).groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("t", F.col("told") >= remove_at))).alias("told"))
     return found, told_of
 
@@ -310,10 +316,6 @@ def redact(text: str, base, terms) -> str:
     return "".join([*out, text[at:]])
 
 
-#: The copies of a text are dealt to so many joins.
-_SALTS = 8
-
-
 def sanitise(docs: DataFrame, **params) -> DataFrame:
     """`docs` in all its columns, whatever their names, texts redacted.
 
